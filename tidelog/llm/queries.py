@@ -5,14 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, warc
+from . import exact_dedup, langid, mixing, quality_rules, sharding, warc
+from .common import hashed_part
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    old = F.pmod(F.xxhash64("source"), F.lit(16))  # the old layout keeps a source together, so its shards are uneven
+    out = sharding.resharded(docs, old, 24)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id",
+        (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +40,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(root, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = hashed_part(F.col("doc_id"), 5)
+    model = langid.learned(docs, fold != 0)
+    rows = docs.select("doc_id", "text", (fold == 0).alias("held_out"))
+    return langid.identified(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.drop("rejected_by")
@@ -31,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op4_warc, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op4_warc, op5_language_id, op9_quality_rules, op10_mixing)}
 
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
