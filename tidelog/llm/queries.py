@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, quality_rules, sharding, warc
+from . import exact_dedup, langid, mixing, quality_cnn, quality_rules, sharding, warc
 from .common import hashed_part
 
 
@@ -31,6 +31,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = hashed_part(F.col("doc_id"), 3)
+    model = quality_cnn.learned(docs, _table(spark, sf_dir, "labels"), fold != 1)
+    out = quality_cnn.scored(docs.withColumn("held_out", fold == 1), model)
+    score = F.col("quality_score").alias("score")
+    return out.select("doc_id", "held_out", score, F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op4_warc, op5_language_id, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_exact_dedup, op4_warc, op5_language_id, op9_quality_rules, op10_mixing)}
 
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
