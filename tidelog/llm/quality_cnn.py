@@ -14,8 +14,8 @@ from .bytegrams import Texts, chunks
 
 #: Bytes that a filter sees, bytes between two places of a filter, numbers of filters and of embedding dimensions.
 WIDTH, STRIDE, FILTERS, DIMENSIONS = 8, 4, 16, 6
-#: Largest number of labelled documents of each class to learn from, and passes over them.
-SAMPLE, EPOCHS, BATCH, RATE = 1200, 12, 64, 0.01
+#: Largest number of labelled documents of each class to learn from; steps of learning and documents in each.
+SAMPLE, STEPS, BATCH, RATE = 1200, 600, 64, 0.01
 
 
 class ConvolutionalScorer:
@@ -62,7 +62,7 @@ class ConvolutionalScorer:
         first, second, step = {k: np.zeros_like(v) for k, v in self.parts.items()}, {k: np.zeros_like(v) for k, v in self.parts.items()}, 0
         share = target.mean() if len(target) else 0.5
         self.parts["out_bias"][:] = math.log((share + 1e-3) / (1 - share + 1e-3))
-        for epoch in range(EPOCHS):
+        while step < STEPS and len(texts):
             order = draw.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
@@ -84,7 +84,7 @@ class ConvolutionalScorer:
                 }
                 np.add.at(grads["embedding"], window, np.einsum("tf,kdf->tfkd", inner, self.parts["filters"]))
                 step += 1
-                rate = RATE * (1 - epoch / EPOCHS)
+                rate = RATE * max(1 - step / STEPS, 0.05)
                 for name, grad in grads.items():
                     first[name] += 0.1 * (grad - first[name])
                     second[name] += 0.001 * (grad**2 - second[name])
