@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, quality_cnn, quality_rules, sharding, warc
+from . import exact_dedup, langid, lm_ppm, mixing, packing, quality_cnn, quality_rules, sharding, warc
 from .common import hashed_part
 
 
@@ -63,6 +63,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = hashed_part(F.col("doc_id"), 7)
+    corpus = lm_ppm.learned(docs, fold != 2)
+    return lm_ppm.scored(docs.withColumn("held_out", fold == 2), corpus).drop("text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.drop("rejected_by")
@@ -72,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_exact_dedup, op4_warc, op5_language_id, op7_best_fit_packing, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_exact_dedup, op4_warc, op5_language_id, op7_best_fit_packing, op8_lm_scoring, op9_quality_rules, op10_mixing)}
 
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
