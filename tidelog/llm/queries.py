@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lm_ppm, mixing, packing, quality_cnn, quality_rules, sharding, warc
+from . import exact_dedup, langid, lm_ppm, mixing, ngram_join, packing, quality_cnn, quality_rules, sharding, warc
 from .common import hashed_part
 
 
@@ -57,6 +57,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_exact_dedup, op4_warc, op5_language_id, op7_best_fit_packing, op8_lm_scoring, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_exact_dedup, op4_warc, op5_language_id, op6_ngram_jaccard, op7_best_fit_packing, op8_lm_scoring, op9_quality_rules, op10_mixing)}
 
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -98,6 +102,18 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS grams FROM w),
+n AS (SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 90 * (a.n_shingles + b.n_shingles - common)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.doc_id WHERE r.root < l.v)
+SELECT n.doc_id, n_shingles, least(n.doc_id, min(root)) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
 OP10_SQL = r"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
@@ -117,4 +133,4 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
     + least(greatest(budget - floor(budget / source_size) * source_size - before, 0), size) END AS BIGINT) AS taken FROM d
 """
 
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_mixing": OP10_SQL}
