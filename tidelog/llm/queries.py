@@ -18,17 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     old = F.pmod(F.xxhash64("source"), F.lit(16))  # the old layout keeps a source together, so its shards are uneven
-    out = sharding.resharded(docs, old, 24)
     text = F.coalesce("text", F.lit(""))
-    return out.select(
-        "doc_id",
-        (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    size = (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size")
+    out = sharding.resharded(docs, old, 24, [F.col("doc_id"), size, F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law")])
+    return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

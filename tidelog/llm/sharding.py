@@ -148,8 +148,10 @@ def affected(moves: list[Transfer]) -> set[int]:
     return {s for m in moves if m.src != m.dst for s in (m.src, m.dst)}
 
 
-def resharded(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
-    """Reshard docs and read the new shards back: columns of docs, shard, slot.
+def resharded(docs: DataFrame, old_shard: Column, shards: int, columns: list[Column] | None = None) -> DataFrame:
+    """Reshard docs and read the new shards back: columns (those of docs), shard, slot.
+
+    columns are taken from the rows as read, before slots are joined, so texts not asked for aren't shuffled again.
 
     slot: the row's place in its shard, over the shard's files by name and each file's rows. Null
     text: empty, of ROW_BYTES bytes; null ids come first among equal sizes; a null old shard holds
@@ -160,9 +162,10 @@ def resharded(docs: DataFrame, old_shard: Column, shards: int) -> DataFrame:
     path = new_path(spark, "shards")
     write_shards(rows, path)
     back = spark.read.schema(rows.schema).parquet(path)
-    back = back.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = [F.col("shard"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    back = back.select(*(columns or docs.columns), *place)
     files = back.groupBy("shard", "_file").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_file")) - F.col("_n")
     files = files.select(F.col("shard").alias("_s"), F.col("_file").alias("_f"), before.alias("_before"))
     out = back.join(files, (F.col("shard") == F.col("_s")) & (F.col("_file") == F.col("_f")))
-    return out.select(*docs.columns, "shard", (F.col("_before") + F.col("_row")).cast("long").alias("slot"))
+    return out.select(*back.columns[: -len(place)], "shard", (F.col("_before") + F.col("_row")).cast("long").alias("slot"))
