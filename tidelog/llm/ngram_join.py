@@ -17,8 +17,10 @@ from .components import components
 FRAGMENTS = 4
 #: Most n-grams known as frequent, and how many of them, of at least so many documents, a task names.
 FREQUENT, NAMED, LEAST = 1 << 16, 4096, 4
-#: Bits of the parity sketch of a set, and most bits of the filter of shared n-grams.
+#: Bits of the parity sketch of a set, and most bits of the filter of sets worth a second look.
 SKETCH, FILTER = 512, 1 << 27
+#: How many times the members needed for one shared are looked at to tell whether a set can be near another.
+EXTENT = 2
 #: Rounds in which each bucket compares its members with one leader before other pairs are taken up.
 ROUNDS = 2
 FOLD = 1 << 21
@@ -134,71 +136,94 @@ def _prefix(n: int, num: int, den: int) -> int:
 
 
 def _prefixes(n: int, num: int, den: int, order):
-    """The first n-grams of each set, folded to the smallest and largest node that has each."""
+    """The first n-grams of each set, EXTENT times as many as a shared one needs, with its node; copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held = NgramSets(n), order.value
-        grams, nodes, size = [], [], 0
-
-        def fold() -> pa.RecordBatch:
-            g, m = np.concatenate(grams), np.repeat(np.array([x for x, _ in nodes], np.int64), [k for _, k in nodes])
-            by = np.lexsort((m, g))
-            g, m = g[by], m[by]
-            edge = np.r_[True, g[1:] != g[:-1]]
-            first = np.flatnonzero(edge)
-            last = np.r_[first[1:], len(g)] - 1
-            return pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(m[first]), pa.array(m[last])], ["gram", "low", "high"])
-
+        sets, held, done = NgramSets(n), order.value, set()
         for batch in batches:
+            grams, nodes, sizes = [], [], []
             for _, found in sets.of(_texts(batch.column(0))):
-                if len(found):
-                    first = held.sort(found)[0][: _prefix(len(found), num, den)]
-                    grams.append(first)
-                    nodes.append((node_of(found), len(first)))
-                    size += len(first)
-                if size > FOLD:
-                    yield fold()
-                    grams, nodes, size = [], [], 0
-        if size:
-            yield fold()
+                if not len(found) or (node := node_of(found)) in done:
+                    continue
+                if len(done) < FOLD:
+                    done.add(node)
+                first = held.sort(found)[0][: _extended(len(found), num, den)]
+                grams.append(first)
+                nodes.append(node)
+                sizes.append(len(first))
+            every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["gram", "node"])
 
     return run
 
 
-def _spots(key: Column, bits: int) -> list[Column]:
-    """Eight places of a key in a filter of `bits` bits, a power of two, by double hashing."""
-    mask = F.lit(bits - 1)
-    low, high = key.bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1)).bitwiseAND(mask)
-    return [(low + high * k).bitwiseAND(mask) for k in range(8)]
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by n-gram and node: for each node how many of its n-grams other nodes have too. A run may span batches."""
+    gram, node, shared = None, None, False  # the last row, and whether its run holds two nodes
+
+    for batch in batches:
+        g, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(g):
+            continue
+        fresh = np.r_[gram is None or g[0] != gram or m[0] != node, (g[1:] != g[:-1]) | (m[1:] != m[:-1])]
+        g, m = g[fresh], m[fresh]
+        if not len(g):
+            continue
+        out = []
+        goes_on = gram is not None and g[0] == gram
+        if goes_on and not shared:
+            out.append(np.array([node]))  # its run has just got a second node
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        length = np.diff(np.r_[first, len(g)])
+        several = length > 1
+        several[0] |= goes_on
+        out.append(m[np.repeat(several, length)])
+        gram, node, shared = g[-1], m[-1], bool(several[-1])
+        keys, counts = np.unique(np.concatenate(out), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["node", "live"])
+
+
+def _extended(n: int, num: int, den: int) -> int:
+    return min(n, EXTENT * (_prefix(n, num, den) - 1) + 1)
+
+
+def _needed(n: Column, num: int, den: int) -> Column:
+    """How many of the extended first members of a set of n any similar set shares.
+
+    With prefixes of p members for one shared, EXTENT * (p - 1) + 1 members hold (EXTENT - 1) * (p - 1) + 1
+    shared ones, p being that of the smaller of the two sets, which has at least num / den of n.
+    """
+    ceil = lambda x: F.floor((x * num + (den - 1)) / den)
+    least = ceil(n)
+    return (EXTENT - 1) * (least - ceil(least)) + 1
 
 
-class SharedFilter:
-    """Says of n-grams whether several sets may hold them among their first; never denies one that is so."""
+class NodeFilter:
+    """Says of nodes whether they may be among those given; never denies one that is. At most FILTER bits: above its size it lets more through."""
 
-    def __init__(self, grams: DataFrame):
-        count = grams.count()
-        self.bits = min(FILTER, 1 << max(10, (16 * count).bit_length()))
-        spot = F.explode(F.array(*_spots(F.col("gram"), self.bits)))
-        words = grams.select(spot.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    def __init__(self, nodes: DataFrame):
+        count = nodes.count()
+        self.bits = min(FILTER, 1 << max(10, (12 * count).bit_length()))
+        mask = F.lit(self.bits - 1)
+        low, high = F.col("node").bitwiseAND(mask), F.shiftrightunsigned("node", 32).bitwiseOR(F.lit(1)).bitwiseAND(mask)
+        spot = F.explode(F.array(*[(low + high * k).bitwiseAND(mask) for k in range(6)]))
+        words = nodes.select(spot.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
         self.words = np.zeros(self.bits // 64, np.int64)
         self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy()
         self.words = self.words.view(np.uint64)
 
-    def has(self, grams: np.ndarray) -> np.ndarray:
-        mask = np.uint64(self.bits - 1)
-        low, high = grams & mask, ((grams >> np.uint64(32)) | np.uint64(1)) & mask
-        out = np.ones(len(grams), bool)
-        for k in range(8):
-            at = (low + high * np.uint64(k)) & mask
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        return out
+    def has(self, node: int) -> bool:
+        node &= (1 << 64) - 1
+        mask = self.bits - 1
+        low, high = node & mask, ((node >> 32) | 1) & mask
+        return all(int(self.words[(at := (low + high * k) & mask) >> 6]) >> (at & 63) & 1 for k in range(6))
 
 
-_SET = "node long, n int, sketch array<long>, grams array<long>, places array<int>, fragments array<array<long>>"
+_SET = "node long, n int, sketch array<long>, grams array<long>, fragments array<array<long>>"
 
 
 def _candidates(n: int, num: int, den: int, order, shared):
-    """The sets that may share one of their first n-grams: those n-grams with their places, a parity sketch, and the set by fragments."""
+    """The sets that the filter lets through: their first n-grams in order, a parity sketch, and the set by fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held, may, done = NgramSets(n), order.value, shared.value, set()
@@ -207,21 +232,21 @@ def _candidates(n: int, num: int, den: int, order, shared):
             for _, found in sets.of(_texts(batch.column(0))):
                 if not len(found):
                     continue
-                ordered, fragment = held.sort(found)
-                places = np.flatnonzero(may.has(ordered[: _prefix(len(found), num, den)]))
-                node = node_of(found) if len(places) else 0
-                if not len(places) or node in done:
+                node = node_of(found)
+                if node in done or not may.has(node):
                     continue
                 if len(done) < FOLD:
                     done.add(node)
+                ordered, fragment = held.sort(found)
+                first = ordered[: _prefix(len(found), num, den)]
                 parity = np.packbits((np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8))
                 cuts = np.searchsorted(fragment, np.arange(1, FRAGMENTS))
                 parts = [x.view(np.int64) for x in np.split(ordered, cuts)]
-                rows.append((node, len(found), parity.view(np.int64), ordered[places].view(np.int64), places.astype(np.int32), parts))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                rows.append((node, len(found), parity.view(np.int64), first.view(np.int64), parts))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             longs = pa.list_(pa.int64())
-            types = (pa.int64(), pa.int32(), longs, longs, pa.list_(pa.int32()), pa.list_(longs))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["node", "n", "sketch", "grams", "places", "fragments"])
+            types = (pa.int64(), pa.int32(), longs, longs, pa.list_(longs))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["node", "n", "sketch", "grams", "fragments"])
 
     return run
 
@@ -295,8 +320,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     hashes. Copies of one set are one node of the join, so groups of copies cost nothing.
 
     Similar sets share one of their first n-grams in the global order (those that are rarest, as far
-    as the frequent ones are known); only n-grams that several sets hold there make buckets. Rows of
-    a set that shares none never leave the first passes.
+    as the frequent ones are known), and a good part of EXTENT times as many; a set of which other
+    sets hold too few of those never leaves the first passes. Of the rest, n-grams that several sets
+    hold among their first make buckets.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -307,13 +333,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     frequent = named.orderBy(F.desc("docs"), "gram").limit(FREQUENT).toArrow().column("gram").to_numpy().view(np.uint64)[::-1]
     order = spark.sparkContext.broadcast(Order(np.ascontiguousarray(frequent)))  # at most FREQUENT n-grams
     only = text.select("text")
-    first = only.mapInArrow(_prefixes(words, num, den, order), "gram long, low long, high long")
-    shared_grams = stored(first.groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("gram"), "shared-grams")
-    may = spark.sparkContext.broadcast(SharedFilter(shared_grams))  # at most FILTER bits
-    sets = stored(only.mapInArrow(_candidates(words, num, den, order, may), _SET).dropDuplicates(["node"]), "ngram-sets")
-    places = sets.select("node", "n", "sketch", F.explode(F.arrays_zip("grams", "places")).alias("p"))
-    buckets = places.select("node", "n", "sketch", F.col("p.grams").alias("gram"), F.col("p.places").alias("place"))
-    buckets = stored(buckets.join(shared_grams, "gram", "left_semi"), "buckets")
+    first = only.mapInArrow(_prefixes(words, num, den, order), "gram long, node long")
+    live = first.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_live, "node long, live long")
+    sizes = rows.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    live = live.groupBy("node").agg(F.sum("live").alias("live")).join(sizes, "node")
+    chosen = stored(live.where(F.col("live") >= _needed(F.col("n"), num, den)).select("node"), "ngram-nodes")
+    may = spark.sparkContext.broadcast(NodeFilter(chosen))  # at most FILTER bits
+    sets = only.mapInArrow(_candidates(words, num, den, order, may), _SET).join(chosen, "node", "left_semi")
+    sets = stored(sets.dropDuplicates(["node"]), "ngram-sets")
+    buckets = sets.select("node", "n", "sketch", F.posexplode("grams").alias("place", "gram"))
+    several = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("gram")
+    buckets = stored(buckets.join(several, "gram", "left_semi"), "buckets")
     roots = _links(sets, buckets, num, den)
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("_least"))
     linked = nodes.join(roots, "node")
