@@ -23,20 +23,18 @@ class LanguageModel:
     """Code lengths of byte n-grams in every language.
 
     For n = 1..order + 1 a table of the n-grams seen in any language holds, for each language, the
-    bits of the last byte after the others (`cost`) and, for use as a context, the bits of an escape
-    from it (`escape`). Escapes follow method C: in a context with n bytes and t distinct ones a byte
+    bits of the last byte after the others, and another, of their contexts, the bits of an escape. Escapes follow method C: in a context with n bytes and t distinct ones a byte
     seen c times has probability c / (n + t) and an escape t / (n + t); it leads to the context
     without its oldest byte, and from the empty one to 1 / 256. A context new to a language is free.
     """
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
+        samples = {name: texts for name, texts in samples.items() if any(texts)}
         self.languages, self.order = sorted(samples), order
-        self.levels: list[tuple[Index, np.ndarray, np.ndarray]] = []
         grams = {name: self._grams(texts) for name, texts in samples.items()}
         size = len(self.languages)
         below, below_cost = None, np.full((1, size), 8.0)
-        costs, escapes = [], []
-        tables = []
+        costs, tables = [], []
         for n in range(1, order + 2):
             shift = np.uint64(2 ** (8 * n) - 1)
             each = [counted(keys & shift, weights) for keys, weights in (grams[name] for name in self.languages)]
@@ -56,16 +54,8 @@ class LanguageModel:
             tables.append((keys, context, escape))
             costs.append(cost)
             below, below_cost = keys, cost
-        for n in range(1, order + 2):
-            keys = tables[n - 1][0]
-            as_context = np.zeros((len(keys), size))
-            if n <= order:
-                _, context, escape = tables[n]
-                at = np.searchsorted(keys, context)
-                seen = (at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == context) if len(keys) else np.zeros(len(context), bool)
-                as_context[at[seen]] = escape[seen]
-            escapes.append(as_context)
-            self.levels.append((Index(keys), costs[n - 1].astype(np.float32), as_context.astype(np.float32)))
+        self.levels = [(Index(keys), cost.astype(np.float32)) for (keys, _, _), cost in zip(tables, costs, strict=True)]
+        self.contexts = [(Index(context), escape.astype(np.float32)) for _, context, escape in tables]
         self.none = (tables[0][2][0] if len(tables[0][2]) else np.zeros(size)).astype(np.float32) + np.float32(8.0)
 
     def _grams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +71,7 @@ class LanguageModel:
         """Code length of each text in each language."""
         held = Texts(texts, self.order)
         keys = held.grams(self.order + 1)
-        index, cost, _ = self.levels[self.order]
+        index, cost = self.levels[self.order]
         found = index.find(keys)
         each = cost[found]
         rest = np.flatnonzero(found < 0)
@@ -91,10 +81,10 @@ class LanguageModel:
 
     def _lower(self, keys: np.ndarray, n: int) -> np.ndarray:
         """Bits of n-grams after an escape from their context of n bytes; keys hold n + 1 bytes."""
-        index, cost, escape = self.levels[n - 1] if n else (None, None, None)
         if not n:
             return np.broadcast_to(self.none, (len(keys), len(self.languages)))
-        context = index.find((keys >> np.uint64(8)) & np.uint64(2 ** (8 * n) - 1))
+        (index, cost), (contexts, escape) = self.levels[n - 1], self.contexts[n]
+        context = contexts.find((keys >> np.uint64(8)) & np.uint64(2 ** (8 * n) - 1))
         out = np.where((context >= 0)[:, None], escape[context], np.float32(0))
         tail = keys & np.uint64(2 ** (8 * n) - 1)
         found = index.find(tail)
@@ -106,12 +96,14 @@ class LanguageModel:
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         """Language and its share of the posterior under equal priors; no letter: `und`, 0."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         out: list[tuple[str, float]] = []
         for i, j in chunks(texts):
             bits = self.bits(texts[i:j])
             for text, own in zip(texts[i:j], bits, strict=True):
                 letters = _ASCII_LETTER.search(text) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
-                if not letters or not self.languages:
+                if not letters:
                     out.append((UNKNOWN, 0.0))
                 else:
                     best = int(own.argmin())
