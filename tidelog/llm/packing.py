@@ -157,6 +157,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     are filled without gaps from offset 0. Empty table: empty result.
     """
     spark = cut.sparkSession
+    cut = stored(cut, "cut")  # the range partitioner samples its input, which would make the ids twice
     by = [F.col(c) for c in ("length", "doc_id", "piece", "ids_crc32")]
     placed = stored(ranged(cut, by), "pieces")
     parts = placed.groupBy("length", "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
