@@ -38,7 +38,7 @@ SELECT concat('s', CAST(page_id % 5 AS STRING)) AS scope_id, 'files' AS collecti
 REF = """
 SELECT concat('s', CAST(p % 5 AS STRING)) AS scope_id, 'files' AS collection_id, source AS entity_type, CAST(doc_id AS STRING) AS entity_id, CAST(p AS STRING) AS blob_id,
   CASE WHEN doc_id % 2 = 0 THEN 'REQUIRED' ELSE 'DEFERRED' END AS binding, CASE WHEN doc_id % 4 = 0 THEN 'EAGER' ELSE 'ON_DEMAND' END AS fetch, doc_id % 2 AS seen_gen
-FROM (SELECT doc_id, source, doc_id * 7 % 300 AS p FROM documents WHERE doc_id % 3 <> 0) d
+FROM (SELECT doc_id, source, doc_id * 7 % 300 AS p FROM documents WHERE doc_id % 4 <> 3) d
 """
 
 #: Replica records: the last change of each entity with revisions made up from its payload.

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..schema import LOG_TABLES, structure
+from ..schema import LOG_TABLES
 
 
 class _File(InputPartition):
@@ -62,7 +62,7 @@ class _Reader(DataSourceStreamReader):
         import pyarrow.parquet as pq
 
         store, _ = _open(self.root)
-        names = [f.name for f in structure(LOG_TABLES["changes"])]
+        names = [column.split()[0] for column in LOG_TABLES["changes"].split(", ")]
         with store.open_input_file(partition.uri) as f:
             yield from pq.ParquetFile(f).iter_batches(columns=names)
 
