@@ -144,6 +144,10 @@ class LogEngine:
             for projection in self.projections:
                 projection(written)
             refs, touched = file_ops.replaced(state["blob_refs"], written)
+            touched = stored(touched, "touched")
+            replace = {"collections": log_write.with_collections(state["collections"], groups, verdicts, now, F.expr("uuid()"))}
+            if not touched.isEmpty():  # most pushes name no file and leave these tables alone
+                replace |= {"blob_refs": refs, "blobs": file_ops.settled(state["blobs"], refs, touched, now)}
             answers = verdicts.withColumns({"response": log_write.response(), "created_at": now})
             batches = verdicts.where("status = 'applied'").withColumn("committed_at", now)
             touched_entities = state["entities"].join(written.select(*log_write.ENTITY).distinct(), log_write.ENTITY, "left_semi")
@@ -155,11 +159,7 @@ class LogEngine:
                     "push_results": answers,
                     "entities": log_write.with_entities(touched_entities, written, now),
                 },
-                replace={
-                    "collections": log_write.with_collections(state["collections"], groups, verdicts, now, F.expr("uuid()")),
-                    "blob_refs": refs,
-                    "blobs": file_ops.settled(state["blobs"], refs, touched, now),
-                },
+                replace=replace,
             )
             key = ["client_id", "group_id"]
             fresh = answers.select(*COLLECTION, *key, "arrival", "status", "seq", "response", F.col("status").alias("outcome"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -25,8 +26,16 @@ class Replica:
     Every step reads one version of the store and commits one, so a crash repeats a step whole.
     """
 
-    def __init__(self, store: VersionedStore, log: LogEngine, client_id: str, clock: Callable[[], datetime.datetime], schema: str = "1"):
-        self.store, self.log, self.client_id, self.clock, self.schema = store, log, client_id, clock, schema
+    def __init__(
+        self,
+        store: VersionedStore,
+        log: LogEngine,
+        client_id: str,
+        clock: Callable[[], datetime.datetime],
+        schema: str = "1",
+        new_token: Callable[[], str] = lambda: uuid.uuid4().hex,
+    ):
+        self.store, self.log, self.client_id, self.clock, self.schema, self.new_token = store, log, client_id, clock, schema, new_token
         store.migrate()
 
     @property
@@ -54,8 +63,8 @@ class Replica:
         return base, state, row.asDict()
 
     def _new_id(self, *parts: str):
-        """Ids of new groups and conflicts, by content and time, so that a repeated step makes the same ones."""
-        return F.sha1(F.concat_ws("/", F.lit(self.client_id), F.lit(str(self._ms())), *[F.col(p).cast("string") for p in parts]))
+        """Ids of the groups or conflicts that one step makes: one token for the step, so that recomputed rows keep theirs."""
+        return F.sha1(F.concat_ws("/", F.lit(self.client_id), F.lit(self.new_token()), *[F.col(p).cast("string") for p in parts]))
 
     def _with_documents(self, documents: DataFrame, ops: DataFrame) -> DataFrame:
         kept = documents.join(ops.select(*ENTITY), ENTITY, "left_anti")
