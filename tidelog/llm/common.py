@@ -1,64 +1,16 @@
-"""Helpers shared by the training-data operators: shared storage, text patterns, distributed ranks."""
+"""Helpers of the training-data operators: text patterns, folds, distributed ranks."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, stored  # noqa: F401
+
 #: One white-space character; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: dict[str, SparkSession] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _written[path] = spark
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a path that new_path() gave."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _written.pop(path, None)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for path, spark in list(_written.items()):
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may be gone already
-            return
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .bytegrams import Index, Texts, chunks, mix
 from .common import stored
-from .components import components
 
 #: Fragments of the global order; the last holds the frequent n-grams.
 FRAGMENTS = 4

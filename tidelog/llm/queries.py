@@ -126,4 +126,31 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
     + least(greatest(budget - floor(budget / source_size) * source_size - before, 0), size) END AS BIGINT) AS taken FROM d
 """
 
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_mixing": OP10_SQL}
+_R = quality_rules
+_TESTS = ", ".join(f"('{rule}', {cutoff})" for rule, cutoffs in _R.RULES.items() for cutoff in cutoffs)
+_SHARE = _R.FALSE_REJECTION / len(_R.RULES)
+_LEVEL = _R.FAILURE / (sum(map(len, _R.RULES.values())) * (len(_R.STRATA) + 1))
+_VALUE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in _R.RULES) + " END"
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, len(l) AS n, len(list_distinct(l)) AS u FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)),
+f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(lines.n - u AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, lines.n AS n_lines
+    FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN n_words < {_R.STRATA[0]} THEN 0 WHEN n_words < {_R.STRATA[1]} THEN 1 WHEN n_words < {_R.STRATA[2]} THEN 2 ELSE 3 END AS stratum,
+    n_symbols / greatest(n_words, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word_chars FROM f),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+tests(rule, cutoff) AS (VALUES {_TESTS}),
+k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({_VALUE} > cutoff) AS k FROM m JOIN good USING (doc_id) CROSS JOIN tests WHERE NOT base_failed GROUP BY ALL),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM k WHERE k < n * {_SHARE} AND
+    list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))) <= {_LEVEL} GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.stratum = m.stratum AND {_VALUE} > cut.cutoff) AS kept FROM m
+"""
+
+ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}
