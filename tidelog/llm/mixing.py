@@ -71,6 +71,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"),
     )
+    rows = stored(rows, "mix-sizes")  # the range partitioner samples its input, which would count words twice
     placed = ranged(rows, [F.col("_source"), F.col("_key"), F.col("doc_id"), F.col("size")])
     schema = T.StructType([*placed.schema.fields, T.StructField("_before", T.LongType())])
     placed = stored(placed.mapInPandas(_running, schema), "mix")
