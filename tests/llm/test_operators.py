@@ -294,6 +294,35 @@ def test_language_model_base(docs, none):
     assert len(empty) == len(corpus()) and {r.n_known for r in empty} == {0}
 
 
+def _whole_scores(train, texts):
+    """Scores under the n-grams of all training texts, in memory."""
+    keys = np.concatenate([(h := Texts([t + b"\0"], lm_ppm.ORDER)).grams(lm_ppm.ORDER + 1)[h.mask()] for t in train])
+    levels = [tuple(x.astype(float) if i else x for i, x in enumerate(counted(keys & np.uint64(2 ** (8 * n) - 1)))) for n in range(1, lm_ppm.ORDER + 2)]
+    return lm_ppm.PartialMatching(levels, len(keys)).log10(texts)
+
+
+@pytest.mark.parametrize("head", [0, 300, 1 << 20])
+def test_language_model_costs_by_joins(docs, none, head, monkeypatch):
+    monkeypatch.setattr(lm_ppm, "GRAM_HEAD", head)
+    train = [(t or "").encode() for i, t in corpus() if (i or 0) % 3 != 1]
+    texts = [(t or "").encode() for _, t in corpus()]
+    rows = lm_ppm.scored(docs, lm_ppm.learned(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1)).collect()
+    want = sorted(zip((t.decode() for t in texts), _whole_scores(train, texts).tolist(), strict=True))
+    found = sorted((r.text or "", r.score) for r in rows)
+    assert [t for t, _ in found] == [t for t, _ in want]
+    assert [s for _, s in found] == pytest.approx([s for _, s in want], rel=1e-4)
+    if not head:
+        assert {round(r.score, 4) for r in lm_ppm.scored(docs.where("text = 'one'"), lm_ppm.learned(none, F.lit(True))).collect()} == {round(-4 * math.log10(256), 4)}
+
+
+def test_language_model_keeps_rare_ngrams_of_a_large_corpus(spark):
+    """Beside 18 MB of other text, n-grams of one training text are known."""
+    rare, filler = "quixotic zephyr jumps", "the same line again\n" * 50_000
+    rows = spark.createDataFrame([(1, rare), *((2 + i, filler) for i in range(18))], "doc_id long, text string")
+    found = lm_ppm.scored(rows.where("doc_id = 1"), lm_ppm.learned(rows, F.lit(True))).first().score
+    assert found == pytest.approx(_whole_scores([rare.encode()] + [filler.encode()] * 18, [rare.encode()])[0], rel=1e-4)
+
+
 def test_packing(spark, docs, none):
     import public_tokenizers
 
