@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from test_engine import Clock
 from tidelog.operators import files, outbox, replica, statements
+from tidelog.plans import queries
 from tidelog.plans.engine import CollectionSpec, LogEngine, log_store
 from tidelog.plans.replica import Replica, replica_store
+from tidelog.plans.synthetic import view
 from tidelog.schema import ENTITY, REPLICA_TABLES, shaped
 
 K = {"scope_id": "u", "collection_id": "l"}
@@ -61,6 +63,41 @@ def test_edits_join_the_groups_they_touch(spark):
     assert of["e"].local_rev == 2 and of["a"].local_rev == 1
 
 
+def test_group_components_link_every_change(spark, tmp_path):
+    """The registered query over all rows of a log, against union-find."""
+    events = [(i, (i * i + i // 3) % 23, ["view", "buy"][i % 2], f'{{"k": {i * 7 % 40}}}', float(i), 1000 + i) for i in range(90)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string, value double, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(c, t, "user", "x") for c in range(7) for t in range(2)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    log, records, groups = (view(spark, str(tmp_path), v).collect() for v in ("v_log", "v_record", "v_group"))
+    entity = lambda r: (r.scope_id, r.collection_id, r.entity_type, r.entity_id)
+    group_of, state = {entity(r): r.group_id for r in records}, {g.group_id: g.state for g in groups}
+    root, nodes = {}, set()
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in log:
+        held = group_of.get(entity(r))
+        if state.get(held) == "IN_FLIGHT":
+            continue
+        tx = ("tx", str(r.seq), r.scope_id)
+        nodes.add(tx)
+        root[find(tx)] = find(("entity", *entity(r)))
+        if state.get(held) == "PENDING":
+            nodes.add(("group", held, r.scope_id))
+            root[find(tx)] = find(("group", held))
+    want, found = {}, {}
+    for kind, i, scope in nodes:
+        want.setdefault(find(("group", i) if kind == "group" else (kind, i, scope)), set()).add((kind, i, scope))
+    rows = queries.QUERIES["group_components"](spark, str(tmp_path)).collect()
+    for r in rows:
+        found.setdefault(r.component, set()).add((r.kind, r.id, r.scope_id))
+    assert len(rows) == sum(map(len, want.values())) and sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    assert any(kind == "group" for kind, *_ in nodes) and max(map(len, want.values())) > 2
+
+
 def test_snapshot_and_conflicts(spark):
     records = record(spark, {"entity_id": "clean", "server_version": "1"}, {"entity_id": "edited", "server_version": "1", "local_rev": 1, "conflict_id": "x1"}, {"entity_id": "based", "server_version": "2", "local_rev": 1})
     items = spark.createDataFrame([("u", "l", "w", e, "2", "{}") for e in ("clean", "edited", "based", "new")], "scope_id string, collection_id string, entity_type string, entity_id string, version string, payload string")

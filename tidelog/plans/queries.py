@@ -360,7 +360,7 @@ def adopt_chunks(spark, sf):
 def group_components(spark, sf):
     """Which groups and transactions belong together has no SQL here; tests hold it against brute force."""
     log = view(spark, sf, "v_log")
-    marks = log.select(*ENTITY, F.col("seq").alias("tx"), F.lit("UPSERT").alias("intent")).where("seq % 11 = 0")
+    marks = log.select(*ENTITY, F.col("seq").alias("tx"), F.lit("UPSERT").alias("intent"))
     return outbox.group_components(outbox.assignments(marks, view(spark, sf, "v_record"), view(spark, sf, "v_group")))
 
 
