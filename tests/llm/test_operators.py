@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +160,20 @@ def test_mixing(docs, none):
     assert mix.columns == docs.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_takes_each_row_as_planned(spark):
+    """Rows without an id, or with one that others have, are taken by their own plan."""
+    sizes = {"a": (100, 10, 31), "b": (20, 8, 40), "c": (12, 90, 7)}
+    rows = [(i, " ".join(words(n, n)), s) for s, own in sizes.items() for i, n in zip((None, 7, 7), own, strict=True)] + [(None, " ".join(words(9, 3)), "c")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = {(s, i, len(t.split())): t for i, t, s in rows}
+    want = Counter()
+    for r in mixing.mixed(docs).collect():
+        own, (whole, rest) = text[r.source, r.doc_id, r["size"]], divmod(r.taken, r["size"])
+        want[r.source, r.doc_id, own] += whole
+        want[r.source, r.doc_id, " ".join(own.split()[:rest])] += rest > 0
+    assert Counter((r.source, r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect()) == +want
+
+
 def test_reshard_moves_the_fewest_bytes():
     old, capacity = {0: 100, 1: 10, 2: 50}, [40, 40, 40, 40]
     moves = sharding.plan_transfers(old, capacity)

@@ -54,25 +54,26 @@ def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.assign(_before=before)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken, before.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken, before, and its columns keep.
 
     size: words of the text (null: 0). Sources stand by code point, null last, and weigh `weights`
     in turn. Documents of a source are taken in the order of md5(seed:doc_id); whole epochs first,
     then up to the exact remaining budget, so that the last document is taken in part. `before`:
-    words of the source that precede the document in that order. Equal ids tie by size. A source of
+    words of the source that precede the document in that order. Equal ids tie by size, then by keep. A source of
     size 0 has target 0. Empty table: empty result. One row for each source comes to the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(
         "doc_id",
         "source",
+        *keep,
         F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("_source"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_key"),
     )
     rows = stored(rows, "mix-sizes")  # the range partitioner samples its input, which would count words twice
-    placed = ranged(rows, [F.col("_source"), F.col("_key"), F.col("doc_id"), F.col("size")])
+    placed = ranged(rows, [F.col("_source"), F.col("_key"), F.col("doc_id"), F.col("size"), *map(F.col, keep)])
     schema = T.StructType([*placed.schema.fields, T.StructField("_before", T.LongType())])
     placed = stored(placed.mapInPandas(_running, schema), "mix")
     parts = placed.groupBy("_source", "_pid").agg(F.sum("size").alias("_sum"))
@@ -86,17 +87,19 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     before = F.col("_before") + F.col("_offset")
     rest = F.least(F.greatest(budget - whole * F.col("source_size") - before, F.lit(0)), F.col("size"))
     return placed.join(parts, ["_source", "_pid"]).select(
-        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + rest).cast("long").alias("taken"), before.alias("before")
+        "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + rest).cast("long").alias("taken"), before.alias("before"), *keep
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself with the columns of docs: whole copies and, for a document cut at its source's budget, its first words.
 
-    Repeated ids carry the same text and are taken alike; documents with nothing taken are absent.
+    Each row is taken as the mix plans for it, whatever rows have the same id or none; documents
+    with nothing taken are absent. The rows are stored with a key of their own.
     """
-    plan = mixed(docs, **options).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    rows = docs.join(plan.where("_taken > 0"), docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mixed(rows, **options, keep=("_row",)).select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = rows.join(plan.where("_taken > 0"), "_row")
     whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
     copies = F.concat(F.when(whole > 0, F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))).otherwise(F.array().cast("array<long>")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     out = rows.withColumn("_words", F.explode(copies))
