@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, stored  # noqa: F401
@@ -12,6 +12,27 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most bytes of rows that go to a Python worker at once; a single longer row stands alone.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batched(spark: SparkSession) -> SparkSession:
+    """spark with Arrow batches of at most BATCH_BYTES, so that workers hold little whatever the texts' lengths; a smaller setting stays."""
+    given = spark.conf.get(_BATCH).rstrip("bB")
+    if not given.isdigit() or not 0 < int(given) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

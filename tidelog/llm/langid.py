@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import Index, Texts, chunks, counted
+from .common import batched
 
 #: Bytes of context, and the largest number of documents of a language that its statistics are learned from.
 ORDER, SAMPLE = 3, 400
@@ -139,7 +140,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Null or empty texts and texts without a letter: `und` with score 0.
     """
-    spark = docs.sparkSession
+    spark = batched(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import Index, Texts, chunks, counted, mix
-from .common import stored
+from .common import batched, stored
 
 #: Bytes of context.
 ORDER = 5
@@ -259,6 +259,7 @@ def learned(docs: DataFrame, usable: Column, order: int = ORDER) -> Corpus:
     the HEAD most frequent words and the GRAM_HEAD most frequent n-grams come to the driver, to be
     looked up instead of joined; none is dropped. Words are told apart by 64-bit hashes.
     """
+    batched(docs.sparkSession)
     rows = docs.where(usable).select("text").mapInArrow(_counter(order), "kind int, key long, n long")
     counts = stored(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"), "lm-counts")
     words = counts.where(F.col("kind") == _WORDS).select("key", "n")
@@ -279,7 +280,7 @@ def scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
     others are joined with all counts and costs by key, as rows of no key that is frequent. N-grams
     that no training text has get their costs once each, through the shorter contexts.
     """
-    spark = docs.sparkSession
+    spark = batched(docs.sparkSession)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [c for c in docs.columns if c not in added]
     keys, n = corpus.head

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .bytegrams import Index, Texts, chunks, mix
-from .common import stored
+from .common import batched, stored
 
 #: Fragments of the global order; the last holds the frequent n-grams.
 FRAGMENTS = 4
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     sets hold too few of those never leaves the first passes. Of the rest, n-grams that several sets
     hold among their first make buckets.
     """
-    spark = docs.sparkSession
+    spark = batched(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, node long, n_shingles long, gram long, docs long"
     described = stored(text.mapInArrow(_describe(words), schema), "ngram-docs")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ranged, stored
+from .common import batched, ranged, stored
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -88,6 +88,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     Null text: empty, so `end` alone. Repeated rows give repeated pieces. tokenizer_path must exist on all executors.
     """
 
+    batched(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _loaded.get(tokenizer_path) or _loaded.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
         for batch in batches:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import Texts, chunks
+from .common import batched
 
 #: Bytes that a filter sees, bytes between two places of a filter, numbers of filters and of embedding dimensions.
 WIDTH, STRIDE, FILTERS, DIMENSIONS = 8, 4, 16, 6
@@ -131,7 +132,7 @@ def learned(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SA
 def scored(docs: DataFrame, model: ConvolutionalScorer) -> DataFrame:
     """docs with quality_score (a column of that name is replaced); one row for each row, whole texts, by the text alone. Null: empty."""
     names = [c for c in docs.columns if c != "quality_score"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = batched(docs.sparkSession).sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
