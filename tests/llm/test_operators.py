@@ -1,6 +1,7 @@
 """Operators against brute force on small, awkward tables: nulls, empty and long texts, ties, repeats, clashing column names."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -135,11 +136,26 @@ def test_streamed_runs_span_batches():
         assert got == {5: 1, 6: 1, 7: 1, 8: 1, 9: 1}, cut
 
 
-def test_targets_share_what_capped_sources_leave():
-    assert mixing.targets([10, 10, 10], [5, 2, 1]) == pytest.approx([20, 50 / 3, 25 / 3])
-    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0, 0]
-    out = mixing.targets([100, 7, 3, 50], [5, 2, 1, 5])
-    assert sum(out) == pytest.approx(240) and out[1] == 14 and out[2] == 6
+def brute_targets(sizes, weights, share=1.5, epochs=2):
+    """Water filling: a target above epochs times its size stops there, until none is."""
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), share * sum(sizes)
+    while free:
+        unit = left / sum(weights[i] for i in free)
+        full = {i for i in free if unit * weights[i] >= epochs * sizes[i]}
+        for i in full or free:
+            out[i] = epochs * sizes[i] if full else unit * weights[i]
+        left -= sum(out[i] for i in full)
+        free = free - full if full else set()
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [0, 0], [100, 7, 3, 50], [5], [1, 10**6, 3, 4, 900, 0, 77, 10**5, 2]])
+def test_targets_share_what_capped_sources_leave(spark, sizes):
+    names = [chr(97 + i) for i in range(len(sizes))]
+    table = spark.createDataFrame(list(zip(names, sizes, strict=True)), "_source string, source_size long")
+    got = {r["_source"]: r.target for r in mixing.targets(table).collect()}
+    assert [got[x] for x in names] == pytest.approx(brute_targets(sizes, [[5, 2, 1][i % 3] for i in range(len(sizes))]), abs=1e-5)
+    assert mixing.targets(table.where("false")).count() == 0
 
 
 def test_mixing(docs, none):
@@ -160,17 +176,27 @@ def test_mixing(docs, none):
     assert mix.columns == docs.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_keeps_large_ids_beside_null_ones(spark):
+    big = 2**53 + 1
+    rows = [(big, "a b", "s"), (None, "c", "s"), (big + 2, "d e f", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r.doc_id or 0, r["size"]) for r in mixing.mixed(docs).collect()) == [(0, 1), (big, 2), (big + 2, 3)]
+    names = docs.withColumns({c: F.lit(3) for c in ("_row", "_size", "_taken", "_cut", "size", "taken", "_source", "before", "target", "_pid")})
+    mix = mixing.mixed_documents(names)
+    assert mix.columns == names.columns and {r["_row"] for r in mix.collect()} == {3} and mix.count() == mixing.mixed_documents(docs).count()
+
+
 def test_mix_takes_each_row_as_planned(spark):
     """Rows without an id, or with one that others have, are taken by their own plan."""
     sizes = {"a": (100, 10, 31), "b": (20, 8, 40), "c": (12, 90, 7)}
-    rows = [(i, " ".join(words(n, n)), s) for s, own in sizes.items() for i, n in zip((None, 7, 7), own, strict=True)] + [(None, " ".join(words(9, 3)), "c")] * 3
+    rows = [(i, "  ".join(words(n, n)) + "\n", s) for s, own in sizes.items() for i, n in zip((None, 7, 7), own, strict=True)] + [(None, " ".join(words(9, 3)), "c")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     text = {(s, i, len(t.split())): t for i, t, s in rows}
     want = Counter()
     for r in mixing.mixed(docs).collect():
         own, (whole, rest) = text[r.source, r.doc_id, r["size"]], divmod(r.taken, r["size"])
         want[r.source, r.doc_id, own] += whole
-        want[r.source, r.doc_id, " ".join(own.split()[:rest])] += rest > 0
+        want[r.source, r.doc_id, re.match(r"(\s*\S+){%d}" % rest, own).group()] += rest > 0
     assert Counter((r.source, r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect()) == +want
 
 
@@ -214,6 +240,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_records(root, index).count() == 0
 
 
+def test_warc_keeps_large_ids_and_any_url(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [(big, "http://a/é ü\r\nX: 1", "<p>"), (big + 2, "http://b/%20", "<p>"), (None, None, "<p>"), (5, None, "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    root, index = warc.write_archives(pages, f"file://{tmp_path}/w")
+    found = {(r.page_id, r.url, r.refers_to) for r in warc.read_records(root, index).collect()}
+    assert found == {(big, rows[0][1], None), (big + 2, rows[1][1], big), (None, None, big), (5, None, None)}
+    heads, blocks = zip(*[warc.parse(gzip.decompress(open(f"{tmp_path}/w/archives/{r.file}", "rb").read()[r.offset : r.offset + r.length])) for r in index.collect()], strict=True)
+    assert len({h["WARC-Record-ID"] for h in heads}) == 4 and all(h["Content-Type"].startswith("application/http") for h in heads)
+    assert {h["WARC-Refers-To-Target-URI"] for h in heads if h["WARC-Type"] == "revisit"} == {"http://a/%C3%A9%20%C3%BC%0D%0AX:%201"} and sorted(blocks) == [b"", b"", b"<p>", b"q"]
+
+
 def test_ranges_join_what_lies_near():
     assert warc.ranges([0, 10, 500, 510], [10, 10, 10, 10], gap=100, most=1000) == [(0, 2), (2, 4)]
     assert warc.ranges([0, 10, 20], [10, 10, 10], gap=0, most=20) == [(0, 2), (2, 3)] and warc.ranges([], []) == []

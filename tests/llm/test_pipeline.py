@@ -5,11 +5,11 @@ import re
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_operators import SPACE, WORD, _components, words
+from test_operators import SPACE, WORD, _components, brute_targets, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidelog.llm import langid, mixing
+from tidelog.llm import langid
 from tidelog.llm.common import hashed_part
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,7 +50,7 @@ def test_stages_and_run(spark, sf_dir):
     size = lambda t: len(WORD.findall(t or ""))
     sources = sorted({r.source for r in kept[3][0]})
     sizes = [sum(size(r.text) for r in kept[3][0] if r.source == s) for s in sources]
-    for source, target in zip(sources, mixing.targets(sizes, [5, 2, 1][: len(sources)]), strict=True):
+    for source, target in zip(sources, brute_targets(sizes, [5, 2, 1][: len(sources)]), strict=True):
         assert sum(size(r.text) for r in kept[3][1] if r.source == source) == int(target + 0.5)
     assert all(r.n_chars == len(r.text) for r in kept[3][1])
     # sequences: all tokens of the mix, each placed once

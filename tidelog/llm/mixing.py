@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, ranged, stored, text_or_empty
+from .common import SPACE, WORD, ranged, stored, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -19,39 +14,31 @@ MOST_EPOCHS = 2
 SEED = "mix-1"
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, epochs: float = MOST_EPOCHS) -> list[float]:
-    """Divide share of all sizes by weight; a target stops at epochs times its size and its excess is shared anew."""
-    left, out, free = share * sum(sizes), [0.0] * len(sizes), list(range(len(sizes)))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in free if unit * weights[i] >= epochs * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = unit * weights[i]
-            break
-        for i in full:
-            out[i] = float(epochs * sizes[i])
-        left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
-    return out
+def _weighed(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """sizes (_source, source_size) with `weight`: weights in turn by the order of _source."""
+    placed = stored(ranged(sizes, [F.col("_source")]), "mix-sources")
+    parts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
+    parts = parts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_first"))
+    turn = ((F.col("_first") + F.col("_idx")) % len(weights)).cast("int") + 1
+    return placed.join(F.broadcast(parts), "_pid").select("_source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn).alias("weight"))
+
 
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = MOST_EPOCHS) -> DataFrame:
+    """sizes (_source, source_size) with `target`: share of all sizes by weight; a target stops at epochs times its size.
 
-def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words of the same source that stand before each row in this sorted partition."""
-    source, carry = None, 0
-    for rows in batches:
-        sizes = rows["size"].to_numpy(np.int64)
-        keys = rows["_source"].to_numpy(object)
-        if not len(rows):
-            continue
-        ends = np.cumsum(sizes)
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        base = (ends - sizes)[starts]
-        if keys[0] == source:
-            base[0] -= carry
-        before = ends - sizes - np.repeat(base, np.diff(np.r_[starts, len(keys)]))
-        source, carry = keys[-1], int(before[-1] + sizes[-1])
-        yield rows.assign(_before=before)
+    The excess is shared anew by weight until none is above. Only the words for a weight of one, a
+    number, comes to the driver; it rises from round to round, so sources that are full stay so.
+    """
+    rows = stored(_weighed(sizes, weights), "mix-weights")
+    total, unit = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0
+    while True:
+        full = unit * F.col("weight") >= F.col("source_size") * epochs
+        free, filled = rows.agg(F.sum(F.when(~full, F.col("weight"))), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0))).first()
+        now = (share * total - epochs * filled) / free if free else unit
+        if now <= unit:
+            break
+        unit = now
+    return rows.select("_source", "source_size", F.round(F.when(full, F.col("source_size") * float(epochs)).otherwise(F.lit(unit) * F.col("weight")), 6).alias("target"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -60,10 +47,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     size: words of the text (null: 0). Sources stand by code point, null last, and weigh `weights`
     in turn. Documents of a source are taken in the order of md5(seed:doc_id); whole epochs first,
     then up to the exact remaining budget, so that the last document is taken in part. `before`:
-    words of the source that precede the document in that order. Equal ids tie by size, then by keep. A source of
-    size 0 has target 0. Empty table: empty result. One row for each source comes to the driver.
+    words of the source that precede the document in that order. Equal ids tie by size, then by
+    keep; ids are kept exactly, null or beyond 2**53. A source of size 0 has target 0. Other columns
+    are not read. Empty table: empty result. Nothing that grows with rows or sources comes to the driver.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         "doc_id",
         "source",
@@ -74,19 +61,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     )
     rows = stored(rows, "mix-sizes")  # the range partitioner samples its input, which would count words twice
     placed = ranged(rows, [F.col("_source"), F.col("_key"), F.col("doc_id"), F.col("size"), *map(F.col, keep)])
-    schema = T.StructType([*placed.schema.fields, T.StructField("_before", T.LongType())])
-    placed = stored(placed.mapInPandas(_running, schema), "mix")
+    placed = stored(placed.drop("_key"), "mix")
     parts = placed.groupBy("_source", "_pid").agg(F.sum("size").alias("_sum"))
-    offsets = stored(parts.withColumn("_offset", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_pid")) - F.col("_sum")), "mix-parts")
-    sources = sorted((r["_source"], r["s"]) for r in offsets.groupBy("_source").agg(F.sum("_sum").alias("s")).collect())
-    share_of = targets([s for _, s in sources], [weights[i % len(weights)] for i in range(len(sources))], share, epochs)
-    plan = spark.createDataFrame([(k, s, round(t, 6)) for (k, s), t in zip(sources, share_of, strict=True)], "_source string, source_size long, target double")
-    parts = offsets.join(plan, "_source").select("_source", "_pid", "_offset", "source_size", "target")
+    parts = stored(parts.withColumn("_offset", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_pid")) - F.col("_sum")), "mix-parts")
+    plan = targets(parts.groupBy("_source").agg(F.sum("_sum").alias("source_size")), weights, share, epochs)
+    parts = parts.join(plan, "_source").select("_source", "_pid", "_offset", "source_size", "target")
+    within = F.sum("size").over(Window.partitionBy("_source", "_pid").orderBy("_idx")) - F.col("size")
     budget = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    before = F.col("_before") + F.col("_offset")
+    before = F.col("_within") + F.col("_offset")
     rest = F.least(F.greatest(budget - whole * F.col("source_size") - before, F.lit(0)), F.col("size"))
-    return placed.join(parts, ["_source", "_pid"]).select(
+    return placed.withColumn("_within", within).join(parts, ["_source", "_pid"]).select(
         "doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + rest).cast("long").alias("taken"), before.alias("before"), *keep
     )
 
@@ -95,17 +80,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself with the columns of docs: whole copies and, for a document cut at its source's budget, its first words.
 
     Each row is taken as the mix plans for it, whatever rows have the same id or none; documents
-    with nothing taken are absent. The rows are stored with a key of their own.
+    with nothing taken are absent. A cut text is the text as it stands up to its last word taken;
+    n_chars, where there is one, is its length then. The rows are stored with a key of their own;
+    columns of docs may have any names.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = mixed(rows, **options, keep=("_row",)).select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = rows.join(plan.where("_taken > 0"), "_row")
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    copies = F.concat(F.when(whole > 0, F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))).otherwise(F.array().cast("array<long>")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    out = rows.withColumn("_words", F.explode(copies))
-    words = F.slice(F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int"))
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(words, " "))
-    out = out.withColumn("text", text)
+    row, size, taken, cut = (unused(docs, name) for name in ("_row", "_size", "_taken", "_cut"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mixed(rows.select("doc_id", "source", "text", row), **options, keep=(row,))
+    rows = rows.join(plan.where("taken > 0").select(row, F.col("size").alias(size), F.col("taken").alias(taken)), row)
+    whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
+    none = F.array().cast("array<long>")
+    copies = F.concat(F.when(whole > 0, F.array_repeat(F.lit(-1).cast("long"), whole)).otherwise(none), F.when(rest > 0, F.array(rest)).otherwise(none))
+    words = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))  # with the white space before each
+    text = F.when(F.col(cut) < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(cut), F.lit(1)).cast("int")), ""))
+    out = rows.withColumn(cut, F.explode(copies)).withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(cut) < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
