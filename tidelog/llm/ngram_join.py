@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import components
 from .bytegrams import Index, Texts, chunks, mix
@@ -17,12 +18,12 @@ from .common import batched, stored
 FRAGMENTS = 4
 #: Most n-grams known as frequent, and how many of them, of at least so many documents, a task names.
 FREQUENT, NAMED, LEAST = 1 << 16, 4096, 4
-#: Bits of the parity sketch of a set, and most bits of the filter of sets worth a second look.
-SKETCH, FILTER = 512, 1 << 27
+#: Bits of the parity sketch of a set in buckets, members for each bit of the wider sketch of large sets, and most bits of the filter of sets worth a second look.
+SKETCH, LOAD, FILTER = 512, 1.5, 1 << 27
 #: How many times the members needed for one shared are looked at to tell whether a set can be near another.
 EXTENT = 2
-#: Rounds in which each bucket compares its members with one leader before other pairs are taken up.
-ROUNDS = 2
+#: Rounds in which buckets compare their members with one leader before other pairs are taken up; all but the first round leave out buckets of so few components.
+ROUNDS, FEW = 2, 16
 FOLD = 1 << 21
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
@@ -219,7 +220,23 @@ class NodeFilter:
         return all(int(self.words[(at := (low + high * k) & mask) >> 6]) >> (at & 63) & 1 for k in range(6))
 
 
-_SET = "node long, n int, sketch array<long>, grams array<long>, fragments array<array<long>>"
+_SET = "node long, n int, sketch array<long>, wide array<long>, grams array<long>, fragments array<array<long>>"
+
+
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of how many members have each value of their last bits: SKETCH of them, doubled while there are more than LOAD members to each.
+
+    The parts of a sketch, joined by exclusive or, are the sketch of half its width.
+    """
+    width = SKETCH
+    while len(found) > LOAD * width:
+        width *= 2
+    parity = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def _folded(sketch: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH // 64), axis=0)
 
 
 def _candidates(n: int, num: int, den: int, order, shared):
@@ -239,14 +256,14 @@ def _candidates(n: int, num: int, den: int, order, shared):
                     done.add(node)
                 ordered, fragment = held.sort(found)
                 first = ordered[: _prefix(len(found), num, den)]
-                parity = np.packbits((np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8))
+                wide = parity_sketch(found)
                 cuts = np.searchsorted(fragment, np.arange(1, FRAGMENTS))
                 parts = [x.view(np.int64) for x in np.split(ordered, cuts)]
-                rows.append((node, len(found), parity.view(np.int64), first.view(np.int64), parts))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                rows.append((node, len(found), _folded(wide), wide, first.view(np.int64), parts))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             longs = pa.list_(pa.int64())
-            types = (pa.int64(), pa.int32(), longs, longs, pa.list_(longs))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["node", "n", "sketch", "grams", "fragments"])
+            types = (pa.int64(), pa.int32(), longs, longs, longs, pa.list_(longs))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["node", "n", "sketch", "wide", "grams", "fragments"])
 
     return run
 
@@ -266,6 +283,22 @@ def _possible(a: str, b: str, num: int, den: int) -> Column:
     return _enough(rest, total, num, den) & ((total - apart) * (num + den) >= 2 * num * total)
 
 
+def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) whose wide sketches are near enough for them to be similar; the wider one is folded to the other's width."""
+    side = lambda name, n, wide: sets.select(F.col("node").alias(name), F.col("n").cast("long").alias(n), F.col("wide").alias(wide))
+    rows = pairs.join(side("u", "_nu", "_wu"), "u").join(side("v", "_nv", "_wv"), "v")
+    width = F.least(F.size("_wu"), F.size("_wv"))
+
+    def narrowed(name: str) -> Column:
+        half = F.transform(F.slice(name, F.lit(1), width), lambda x, i: x.bitwiseXOR(F.get(F.col(name), i + width)))
+        return F.when(F.size(name) == width, F.col(name)).when(F.size(name) == 2 * width, half)  # null beyond: lengths rule such pairs out
+
+    apart = F.aggregate(F.zip_with(narrowed("_wu"), narrowed("_wv"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    total = F.col("_nu") + F.col("_nv")
+    long_enough = F.least("_nu", "_nv") * den >= F.greatest("_nu", "_nv") * num
+    return rows.where(long_enough & F.coalesce((total - apart) * (num + den) >= 2 * num * total, F.lit(True))).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (u, v) that are similar: overlaps are counted in each fragment by itself and summed for each pair."""
     parts = sets.select("node", "n", F.posexplode("fragments").alias("fragment", "members"))
@@ -277,23 +310,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _links(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """Verified links whose components are those of all links.
-
-    In each bucket one leader (that with most members from there on) is compared with the others,
-    which links a cluster of near copies by a star instead of by all its pairs. After ROUNDS such
-    rounds, with another leader where components are left apart, all possible pairs of different
-    components are verified; pairs within a component need no link of their own.
+    """Component roots (node, root) of the links between sets; links are verified, those within a component need not all be found.
+
+    First each bucket compares one leader (the member with most members from there on) with the
+    others, which links a cluster of near copies by a star instead of by all its pairs. Buckets in
+    which more than FEW components are left apart do so again, with a leader of the smaller
+    components, up to ROUNDS times. Then all possible pairs of different components are verified. A
+    pair comes from a bucket only if the two sets have not come from the same bucket before, in the
+    global order: so from its first common bucket and seldom from others.
     """
-    links = None
     roots = None
     for turn in range(ROUNDS + 1):
-        rows = buckets
-        if roots is not None:
-            rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            rows = rows.withColumn("root", F.col("node"))
-        apart = rows.groupBy("gram").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b").select("gram")
-        rows = stored(rows.join(apart, "gram", "left_semi"), "bucket-rows")
+        rows = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if turn:  # the first round takes all buckets, as each has several nodes
+            if turn < ROUNDS:
+                several = rows.groupBy("gram", "root").agg(F.lit(1).alias("_")).groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW)
+            else:
+                several = rows.groupBy("gram").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b")
+            rows = rows.join(several.select("gram"), "gram", "left_semi")
+            if turn == ROUNDS:
+                rows = rows.withColumn("before", F.lag("gram").over(Window.partitionBy("node").orderBy("place")))
+            rows = stored(rows, "bucket-rows")
+            if rows.isEmpty():
+                continue
         if turn < ROUNDS:
             best = rows.groupBy("gram", "root").agg(F.min(F.struct(F.col("place"), F.col("n"), F.col("node"), F.col("sketch"))).alias("best"), F.count(F.lit(1)).alias("size"))
             # The first leader comes from the whole bucket, the next from the smaller components.
@@ -302,11 +341,15 @@ def _links(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame
             lead = lead.select("gram", F.col("l.root").alias("root"), F.col("l.rank.best.place").alias("place"), F.col("l.rank.best.n").alias("n"), F.col("l.rank.best.node").alias("node"), F.col("l.rank.best.sketch").alias("sketch"))
             joined = rows.alias("a").join(lead.alias("b"), "gram").where((F.col("a.root") != F.col("b.root")) & _possible("a", "b", num, den))
         else:
-            joined = rows.alias("a").join(rows.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", num, den))
+            fresh = F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
+            joined = rows.alias("a").join(rows.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") < F.col("b.root")) & fresh & _possible("a", "b", num, den))
         pairs = joined.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-        found = _verified(pairs, sets, num, den)
-        links = stored(found if links is None else links.unionAll(found), "links")
-        roots = stored(components(links), "roots")
+        found = _verified(_near(pairs, sets, num, den), sets, num, den)
+        links = stored(found, "links")
+        if roots is None:
+            roots = stored(components(links), "roots")
+        elif not links.isEmpty():
+            roots = stored(components(links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
     return roots
 
 
