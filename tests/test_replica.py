@@ -93,7 +93,7 @@ def test_group_components_link_every_change(spark, tmp_path):
         want.setdefault(find(("group", i) if kind == "group" else (kind, i, scope)), set()).add((kind, i, scope))
     rows = queries.QUERIES["group_components"](spark, str(tmp_path)).collect()
     for r in rows:
-        found.setdefault(r.component, set()).add((r.kind, r.id, r.scope_id))
+        found.setdefault(r.first_tx, set()).add((r.kind, r.id, r.scope_id))
     assert len(rows) == sum(map(len, want.values())) and sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
     assert any(kind == "group" for kind, *_ in nodes) and max(map(len, want.values())) > 2
 

@@ -18,11 +18,10 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None):
+def query(sql: str):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = with_views(sql)
+        ORACLE_SQL[f.__name__] = with_views(sql)
         return f
 
     return register
@@ -53,13 +52,21 @@ def parts_live(spark, sf):
     return log_read.live(log_read.current_state(view(spark, sf, "v_changes"))).select("entity_id", F.col("seq").alias("version"), "ordinal", "quantity")
 
 
-@query("SELECT seq, count(*) AS ops, min(entity_id) AS first_entity, max(CASE WHEN seq = 30 THEN 1 ELSE 0 END) AS look_ahead FROM v_changes WHERE seq > 9 AND seq <= 30 GROUP BY seq")
+@query("WITH p AS (SELECT DISTINCT seq FROM v_changes WHERE seq > 9 ORDER BY seq LIMIT 21) SELECT p.seq, list(v.entity_id ORDER BY v.ordinal) AS entities, list(v.op ORDER BY v.ordinal) AS kinds FROM p JOIN v_changes v ON v.seq = p.seq GROUP BY p.seq")
 def changes_page(spark, sf):
+    """A page and one batch more, which tells whether there is another page; operations in their order."""
     changes = view(spark, sf, "v_changes")
     page = log_read.after(changes.select(*COLLECTION, "seq").distinct(), 9, 20)
     rows = log_read.with_operations(page, changes)
-    first = F.array_min(F.transform("ops", lambda o: o["entity_id"]))
-    return rows.select("seq", F.size("ops").cast("long").alias("ops"), first.alias("first_entity"), (F.col("seq") == 30).cast("int").alias("look_ahead"))
+    return rows.select("seq", F.transform("ops", lambda o: o["entity_id"]).alias("entities"), F.transform("ops", lambda o: o["op"]).alias("kinds"))
+
+
+@query("SELECT seq, list(entity_id ORDER BY ordinal) AS entities FROM v_changes GROUP BY seq")
+def changes_in_order(spark, sf):
+    """The operations of every batch in their order."""
+    changes = view(spark, sf, "v_changes")
+    rows = log_read.with_operations(changes.select(*COLLECTION, "seq").distinct(), changes)
+    return rows.select("seq", F.transform("ops", lambda o: o["entity_id"]).alias("entities"))
 
 
 @query("SELECT scope_id, max(seq) AS head FROM v_log GROUP BY scope_id")
@@ -68,14 +75,14 @@ def head_per_collection(spark, sf):
 
 
 @query(
-    f"WITH {_C}, r AS (SELECT DISTINCT scope_id, collection_id, client_id, CAST(substr(client_id, 2) AS BIGINT) * 40 AS seq FROM v_log)"
+    f"WITH {_C}, r AS (SELECT DISTINCT scope_id, collection_id, client_id, CAST(substr(client_id, 2) AS BIGINT) * 4000 AS seq FROM v_log)"
     " SELECT r.scope_id, client_id, seq, CASE WHEN seq > next_seq - 1 THEN 'reset' WHEN seq < retention_floor_seq - 1 THEN 'too_old' ELSE 'ok' END AS status,"
     " CASE WHEN seq <= next_seq - 1 AND seq >= retention_floor_seq - 1 THEN next_seq - 1 - seq END AS lag,"
     " CASE WHEN seq <= next_seq - 1 AND seq < retention_floor_seq - 1 THEN retention_floor_seq - 1 - seq END AS behind FROM r JOIN c ON r.scope_id = c.scope_id"
 )
 def cursor_lag(spark, sf):
     log = view(spark, sf, "v_log")
-    readers = log.select(*COLLECTION, "client_id").distinct().withColumn("seq", F.substring("client_id", 2, 9).cast("long") * 40)
+    readers = log.select(*COLLECTION, "client_id").distinct().withColumn("seq", F.substring("client_id", 2, 9).cast("long") * 4000)
     readers = readers.withColumn("epoch", F.lit("0199fd1a-0000-7000-8000-00000000000e"))
     return log_read.cursor_status(readers, _collections(log)).select("scope_id", "client_id", "seq", "status", "lag", "behind")
 
@@ -356,19 +363,25 @@ def adopt_chunks(spark, sf):
     return outbox.adopted(existing, view(spark, sf, "v_record").where("seen_gen = 0"), 50).select("scope_id", "entity_type", "entity_id", "chunk")
 
 
-@query(None)
+@query(
+    "WITH m AS (SELECT l.scope_id, l.collection_id, l.seq AS tx, CASE WHEN g.state = 'PENDING' THEN g.group_id END AS pending, concat(l.scope_id, '/', l.entity_type, '/', l.entity_id) AS entity"
+    " FROM v_log l LEFT JOIN v_record r ON l.scope_id = r.scope_id AND l.entity_type = r.entity_type AND l.entity_id = r.entity_id LEFT JOIN v_group g ON g.group_id = r.group_id WHERE g.state IS NULL OR g.state <> 'IN_FLIGHT'),"
+    # A transaction of this log changes one entity and an entity has at most one group, so no longer chains exist.
+    " k AS (SELECT *, min(tx) OVER (PARTITION BY coalesce(pending, entity)) AS first_tx FROM m)"
+    " SELECT DISTINCT 'tx' AS kind, CAST(tx AS VARCHAR) AS id, scope_id, first_tx FROM k UNION SELECT DISTINCT 'group', pending, scope_id, first_tx FROM k WHERE pending IS NOT NULL"
+)
 def group_components(spark, sf):
-    """Which groups and transactions belong together has no SQL here; tests hold it against brute force."""
+    """Transactions and groups that belong together, named by the first transaction of each component."""
     log = view(spark, sf, "v_log")
     marks = log.select(*ENTITY, F.col("seq").alias("tx"), F.lit("UPSERT").alias("intent"))
-    return outbox.group_components(outbox.assignments(marks, view(spark, sf, "v_record"), view(spark, sf, "v_group")))
+    found = outbox.group_components(outbox.assignments(marks, view(spark, sf, "v_record"), view(spark, sf, "v_group")))
+    first = found.where("kind = 'tx'").groupBy("component").agg(F.min(F.col("id").cast("long")).alias("first_tx"))
+    return found.join(first, "component").select("kind", "id", "scope_id", "first_tx")
 
 
-@query("SELECT scope_id, entity_type, entity_id, CASE WHEN k % 2 = 0 AND local_rev > acked_rev THEN 'keep' ELSE 'other' END AS kind, local_rev, acked_rev FROM (SELECT r.*, CAST(server_version AS BIGINT) AS k FROM v_record r) x WHERE local_rev > acked_rev AND seen_gen = 1")
+@query("SELECT scope_id, entity_type, entity_id, local_rev, acked_rev FROM v_record WHERE local_rev > acked_rev")
 def dirty_records(spark, sf):
-    out = view(spark, sf, "v_record").where(replica.dirty() & (F.col("seen_gen") == 1))
-    kind = F.when(F.col("server_version").cast("long") % 2 == 0, "keep").otherwise("other")
-    return out.select("scope_id", "entity_type", "entity_id", kind.alias("kind"), "local_rev", "acked_rev")
+    return view(spark, sf, "v_record").where(replica.dirty()).select("scope_id", "entity_type", "entity_id", "local_rev", "acked_rev")
 
 
 @query("SELECT scope_id, entity_type, entity_id, CASE WHEN local_rev > acked_rev THEN NULL ELSE server_version END AS server_version, acked_rev AS local_rev FROM v_record WHERE scope_id = 's1'")
