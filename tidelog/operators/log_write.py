@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.documents import document_bytes, merged
 from ..schema import BLOB, COLLECTION, ENTITY, shaped
 from ..sources.shared import stored
+from .ranks import ranked
 
 GROUP = [*COLLECTION, "client_id", "group_id"]
 
@@ -117,12 +118,11 @@ def conflicts(ops: DataFrame, entities: DataFrame) -> DataFrame:
 def sequenced(applied: DataFrame, collections: DataFrame) -> DataFrame:
     """applied groups with seq: dense from next_seq in arrival order in each collection (from 1 in a new one).
 
-    The window sorts one light row for each group, never its operations.
+    Light rows, one for each group, are ranked by a distributed sort: a hot collection is split.
     """
-    rank = F.row_number().over(Window.partitionBy(*COLLECTION).orderBy("arrival")).cast("long")
     first = F.coalesce(F.col("next_seq"), F.lit(1))
-    light = applied.join(collections.select(*COLLECTION, "next_seq"), COLLECTION, "left")
-    return light.withColumn("seq", rank - 1 + first).drop("next_seq")
+    light = ranked(applied, COLLECTION, ["arrival"]).join(collections.select(*COLLECTION, "next_seq"), COLLECTION, "left")
+    return light.withColumn("seq", F.col("_rank") - 1 + first).drop("next_seq", "_rank")
 
 
 def _set_based(groups: DataFrame, state: dict[str, DataFrame], allowed: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:

@@ -33,6 +33,10 @@ class CollectionSpec:
             raise ValueError("a collection takes at least one entity type and documents of some size")
 
 
+#: A table of so many parts is rewritten into one, laid out by collection and sequence.
+MOST_PARTS = 64
+
+
 @dataclass(frozen=True)
 class Page:
     rows: list[Row]
@@ -169,6 +173,7 @@ class LogEngine:
             return fresh.unionByName(later).unionByName(old)
 
         answers = self._retry(attempt)
+        self._compact()
         applied = answers.where("outcome = 'applied'").groupBy(*COLLECTION).agg(F.max("seq").alias("head"))
         for row in applied.collect():
             for listener in self.listeners:
@@ -178,6 +183,14 @@ class LogEngine:
                     self._record("listener_failed", error=str(failure))
         return answers
 
+    def _compact(self) -> None:
+        """Now and then, after a commit; another writer's commit meanwhile leaves it for later."""
+        if self.store.fragments() > MOST_PARTS:
+            try:
+                self.store.compact()
+            except CommitConflict:
+                self._record("compaction_lost")
+
     # -- reading
 
     def _bounds(self, state: dict[str, DataFrame], scope: str, collection: str) -> log_read.Bounds | None:
@@ -317,16 +330,17 @@ class LogEngine:
     # -- maintenance
 
     def trim(self) -> list[Row]:
-        """Forget history older than the retention; returns a report for each collection."""
+        """Forget history older than the retention, on disk too; returns a report for each collection."""
         cutoff = F.lit(self.clock() - datetime.timedelta(days=self.limits.retention_days)).cast("timestamp")
 
         def attempt(base: int, state: dict[str, DataFrame]) -> list[Row]:
             found = stored(retention.floors(state["collections"], state["batches"], cutoff), "floors")
             report = retention.trim_report(state["batches"], state["entities"], found).collect()
-            self.store.commit(base, replace=retention.trimmed(state, found))
+            self.store.commit(base, replace=retention.trimmed(state, found), laid_out=True)
             return report
 
         report = self._retry(attempt)
+        self.store.vacuum()
         for row in report:
             self._record("trim", scope=row["scope_id"], collection=row["collection_id"], removed=row["removed"], retained=row["retained"])
         return report
@@ -358,16 +372,17 @@ class LogEngine:
         return retention.targets(self.store.read()["collections"]).collect()
 
     def purge(self, scope: str, collection: str | None = None) -> list[Row]:
-        """Erase a collection, or all of a scope, in one commit; returns what went from each table."""
+        """Erase a collection, or all of a scope, in one commit and on disk; returns what went from each table."""
         target = retention.in_target(scope, collection)
 
         def attempt(base: int, state: dict[str, DataFrame]) -> tuple[list[Row], DataFrame]:
             report = retention.purge_report(state, target).collect()
             held = stored(state["blobs"].where(target), "purged-blobs")
-            self.store.commit(base, replace=retention.purged(state, target))
+            self.store.commit(base, replace=retention.purged(state, target), laid_out=True)
             return report, held
 
         report, held = self._retry(attempt)
+        self.store.vacuum()
         if self.on_released and not held.isEmpty():
             self.on_released(held)
         for row in report:

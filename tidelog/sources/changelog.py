@@ -1,8 +1,8 @@
 """A streaming source of committed changes: `spark.readStream.format("changelog").option("path", root)`.
 
 Offsets are store versions. Each batch reads exactly the files that the commits in between appended to
-`changes`, one task for each file; a file that retention has rewritten meanwhile is an error, never a
-silent gap.
+`changes`, one task for each file; a version or file that retention or an erasure has removed meanwhile
+is an error, never a silent gap. A fresh stream over such a log starts from a snapshot and `startingVersion`.
 """
 
 from __future__ import annotations
@@ -48,8 +48,11 @@ class _Reader(DataSourceStreamReader):
         store, base = _open(self.root)
         out: list[InputPartition] = []
         for version in range(start["version"] + 1, end["version"] + 1):
-            with store.open_input_file(f"{base}/manifest/{version}.json") as f:
-                appended = json.loads(f.read()).get("appended", {}).get("changes", [])
+            try:
+                with store.open_input_file(f"{base}/manifest/{version}.json") as f:
+                    appended = json.loads(f.read()).get("appended", {}).get("changes", [])
+            except FileNotFoundError as gone:
+                raise FileNotFoundError(f"version {version} has been trimmed; start again from a snapshot, with startingVersion {end['version']}") from gone
             for path in appended:
                 folder = _open(path)[1]
                 infos = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
