@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranged  # noqa: F401
 from ..sources.shared import new_path, stored  # noqa: F401
 
 #: One white-space character; everything else belongs to a word.
@@ -33,6 +34,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def reserved(df: DataFrame, *names: str) -> None:
+    """Refuse columns whose names an operator uses for itself."""
+    clash = sorted({n.lower() for n in names} & {c.lower() for c in df.columns})
+    if clash:
+        raise ValueError(f"columns named {', '.join(clash)} are reserved: rename them")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -45,14 +53,3 @@ def hashed_part(column: Column, modulus: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, inside whatever expression needs it."""
     return F.transform(F.array(value), body)[0]
-
-
-def ranged(df: DataFrame, by: list[Column]) -> DataFrame:
-    """Range-partition and sort df; `_pid` is the partition and `_idx` the row's place in it.
-
-    Ordered by (_pid, _idx) the rows stand in the order `by`. Store the result before using it:
-    range bounds come from a sample and can differ between two runs of the same plan.
-    """
-    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    at = F.monotonically_increasing_id()
-    return placed.withColumns({"_pid": F.shiftright(at, 33).cast("int"), "_idx": at.bitwiseAND(F.lit((1 << 33) - 1))})

@@ -11,7 +11,7 @@ from .common import SPACE, WORD, let, stored, text_or_empty
 
 #: Words in the window whose repeats count.
 WINDOW = 8
-#: Each rule rejects a document whose value exceeds the cutoff; candidates from the strictest on.
+#: Each rule rejects a document whose value exceeds the cutoff; the cutoffs of one place, from the strictest on, are certified together.
 RULES = {
     "symbol_ratio": [0.02, 0.05, 0.1, 0.2, 0.4, 0.8],
     "dup_line_ratio": [0.05, 0.1, 0.2, 0.3, 0.5, 0.8],
@@ -112,25 +112,30 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, failure: float = FAILURE) -> DataFrame:
-    """One row for each stratum and rule with a certified cutoff: stratum, rule, cutoff, n_good, n_rejected.
-
-    Good rows: quality 1. A cutoff is certified if the share of good documents it rejects is under
-    false_rejection / rules, by an exact (Clopper-Pearson) bound at level failure / hypotheses, which
-    is Bonferroni's correction over all strata, rules and candidates; so all certified cutoffs hold
-    at once, and the strictest of each rule is taken. Labels that repeat an id count once, good if
-    any says so. Without enough labels nothing is certified and the rules reject nothing.
+    """One row for each stratum with certified cutoffs: stratum, level, n_good, n_rejected and the cutoff of each rule, by its name.
+
+    Good rows: quality 1. The rules' cutoffs form one fixed path of levels, from the loosest to the
+    strictest. At each level the share of good documents that any rule rejects is tested against
+    false_rejection by an exact (Clopper-Pearson) binomial bound; the walk ends at the first level
+    that fails, so its levels need no correction among themselves, and Bonferroni's correction
+    (failure / strata) covers the strata: with probability 1 - failure no stratum loses more than
+    false_rejection of its good documents. Labels that repeat an id count once, good if any says so.
+    Without enough labels (about 108 good rows of a stratum) nothing is certified.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_q")).where("_q = 1").select("doc_id")
     held = measured.where("not base_failed").join(good, "doc_id", "left_semi")
-    tests = [(rule, c) for rule, cs in RULES.items() for c in cs]
-    sums = [F.count_if(F.col(rule) > c).alias(f"k{i}") for i, (rule, c) in enumerate(tests)]
-    by_stratum = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *sums)
-    cases = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("n_rejected")) for i, (rule, c) in enumerate(tests)])
-    rows = by_stratum.select("stratum", "n_good", F.inline(cases))
-    share, level = false_rejection / len(RULES), failure / (len(tests) * (len(STRATA) + 1))
-    below = F.col("n_rejected") < F.col("n_good") * share
-    certified = rows.where(F.when(below, binomial_tail(F.col("n_rejected"), F.col("n_good"), share) <= level).otherwise(F.lit(False)))
-    return certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.first("n_good").alias("n_good"), F.max("n_rejected").alias("n_rejected"))
+    levels = list(range(len(next(iter(RULES.values())))))
+    rejected = [F.count_if(F.greatest(*[(F.col(rule) > cutoffs[level]).cast("int") for rule, cutoffs in RULES.items()]) == 1).alias(f"k{level}") for level in levels]
+    by_stratum = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *rejected)
+    n, most = F.col("n_good"), failure / (len(STRATA) + 1)
+    passed, best = F.lit(True), F.lit(None).cast("int")
+    for level in reversed(levels):
+        k = F.col(f"k{level}")
+        passed = passed & F.when(k < n * false_rejection, binomial_tail(k, n, false_rejection) <= most).otherwise(F.lit(False))
+        best = F.when(passed, F.lit(level)).otherwise(best)
+    found = by_stratum.withColumn("level", best).where("level is not null")
+    at = lambda values: F.element_at(F.array(*values), F.col("level") + 1)
+    return found.select("stratum", "level", "n_good", at([F.col(f"k{x}") for x in levels]).alias("n_rejected"), *[at([F.lit(float(c)) for c in cutoffs]).alias(rule) for rule, cutoffs in RULES.items()])
 
 
 def judged(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, failure: float = FAILURE) -> DataFrame:
@@ -141,7 +146,7 @@ def judged(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_RE
     """
     measured = stored(with_rules(features(docs)), "rules")
     found = cutoffs(measured, labels, false_rejection, failure)
-    limits = found.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"_max_{rule}") for rule in RULES])
+    limits = found.select("stratum", *[F.col(rule).alias(f"_max_{rule}") for rule in RULES])
     out = measured.join(limits, "stratum", "left")  # at most one row for each stratum
     broken = F.array_compact(F.array(*[F.when(F.col(rule) > F.col(f"_max_{rule}"), F.lit(rule)) for rule in RULES]))
     out = out.withColumn("rejected_by", broken)

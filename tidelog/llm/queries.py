@@ -127,10 +127,10 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
 """
 
 _R = quality_rules
-_TESTS = ", ".join(f"('{rule}', {cutoff})" for rule, cutoffs in _R.RULES.items() for cutoff in cutoffs)
-_SHARE = _R.FALSE_REJECTION / len(_R.RULES)
-_LEVEL = _R.FAILURE / (sum(map(len, _R.RULES.values())) * (len(_R.STRATA) + 1))
-_VALUE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in _R.RULES) + " END"
+_LEVELS = ", ".join(f"({level}, {', '.join(str(c) for c in cutoffs)})" for level, cutoffs in enumerate(zip(*_R.RULES.values(), strict=True)))
+_LIMITS = ", ".join(f"c_{rule}" for rule in _R.RULES)
+_BROKEN = " OR ".join(f"{rule} > c_{rule}" for rule in _R.RULES)
+_SHARE, _LEAST = _R.FALSE_REJECTION, _R.FAILURE / (len(_R.STRATA) + 1)
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -145,12 +145,14 @@ m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
     CASE WHEN n_words < {_R.STRATA[0]} THEN 0 WHEN n_words < {_R.STRATA[1]} THEN 1 WHEN n_words < {_R.STRATA[2]} THEN 2 ELSE 3 END AS stratum,
     n_symbols / greatest(n_words, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS mean_word_chars FROM f),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-tests(rule, cutoff) AS (VALUES {_TESTS}),
-k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({_VALUE} > cutoff) AS k FROM m JOIN good USING (doc_id) CROSS JOIN tests WHERE NOT base_failed GROUP BY ALL),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM k WHERE k < n * {_SHARE} AND
-    list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))) <= {_LEVEL} GROUP BY ALL)
+levels(level, {_LIMITS}) AS (VALUES {_LEVELS}),
+k AS (SELECT stratum, level, count(*) AS n, count(*) FILTER ({_BROKEN}) AS k FROM m JOIN good USING (doc_id) CROSS JOIN levels WHERE NOT base_failed GROUP BY ALL),
+passes AS (SELECT stratum, level, k < n * {_SHARE} AND
+    list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_SHARE}) + (n - j) * ln(1 - {_SHARE})))) <= {_LEAST} AS ok FROM k),
+best AS (SELECT stratum, min(level) AS level FROM passes p WHERE NOT EXISTS (SELECT 1 FROM passes q WHERE q.stratum = p.stratum AND q.level >= p.level AND NOT q.ok) GROUP BY stratum),
+cut AS (SELECT stratum, {_LIMITS} FROM best JOIN levels USING (level))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.stratum = m.stratum AND {_VALUE} > cut.cutoff) AS kept FROM m
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.stratum = m.stratum AND ({_BROKEN})) AS kept FROM m
 """
 
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_mixing": OP10_SQL}
