@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import Index, Texts, chunks, counted
-from .common import batched
+from .common import batched, unused
 
 #: Bytes of context, and the largest number of documents of a language that its statistics are learned from.
 ORDER, SAMPLE = 3, 400
+#: The score weighs a text's mean code length as if it had so many bytes, however long it is.
+EVIDENCE = 8
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -96,7 +98,7 @@ class LanguageModel:
         return out
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """Language and its share of the posterior under equal priors; no letter: `und`, 0."""
+        """Language and its share of the posterior that EVIDENCE bytes of the text's mean code lengths give under equal priors; no letter: `und`, 0."""
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         out: list[tuple[str, float]] = []
@@ -108,7 +110,8 @@ class LanguageModel:
                     out.append((UNKNOWN, 0.0))
                 else:
                     best = int(own.argmin())
-                    out.append((self.languages[best], float(1 / np.exp2(np.maximum(own[best] - own, -1000)).sum())))
+                    gap = (own[best] - own) * (min(EVIDENCE, len(text)) / len(text))
+                    out.append((self.languages[best], float(1 / np.exp2(np.maximum(gap, -1000)).sum())))
         return out
 
 
@@ -146,9 +149,9 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()])
+            found = shared.value.predict([x or b"" for x in batch.column(len(names)).cast(pa.binary()).to_pylist()])
             arrays = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "lang_score"])
 
     schema = docs.select(*names).withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col("text").alias(unused(docs, "_text"))).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import Texts, chunks
-from .common import batched
+from .common import batched, unused
 
 #: Bytes that a filter sees, bytes between two places of a filter, numbers of filters and of embedding dimensions.
 WIDTH, STRIDE, FILTERS, DIMENSIONS = 8, 4, 16, 6
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, model: ConvolutionalScorer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.score([x or b"" for x in batch.column("_text").cast(pa.binary()).to_pylist()])
+            found = shared.value.score([x or b"" for x in batch.column(len(names)).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], [*names, "quality_score"])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, docs.select(*names).withColumn("quality_score", F.lit(0.0)).schema)
+    return docs.select(*names, F.col("text").alias(unused(docs, "_text"))).mapInArrow(run, docs.select(*names).withColumn("quality_score", F.lit(0.0)).schema)
