@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -213,6 +214,44 @@ def test_reshard_moves_the_fewest_bytes():
     assert sharding.affected([sharding.Transfer(0, 0, 5), sharding.Transfer(1, 2, 5)]) == {1, 2}
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_reshard_moves_no_more_than_what_stands_above_capacity(seed):
+    """Whatever the plan, what a shard holds above its capacity has to go, and all of a shard that ends; a cheapest plan moves just that."""
+    draw = random.Random(seed)
+    old = {i: draw.randrange(0, 1000) for i in range(draw.randrange(1, 9))}
+    capacity = sharding.capacities(sum(old.values()), draw.randrange(1, 9))
+    assert sum(capacity) == sum(old.values()) and max(capacity) - min(capacity) <= 1
+    moves = sharding.plan_transfers(old, capacity)
+    assert sum(m.size for m in moves if m.src != m.dst) == sum(max(0, s - (capacity[i] if i < len(capacity) else 0)) for i, s in old.items())
+    assert all(sum(m.size for m in moves if m.dst == j) == c for j, c in enumerate(capacity)) and all(sum(m.size for m in moves if m.src == i) == s for i, s in old.items())
+
+
+def test_shards_that_neither_gain_nor_lose_keep_their_files(spark, tmp_path):
+    rows = [(i, "x" * (92 if i < 40 else 40 if i < 60 else 150), i // 20) for i in range(80)]  # shards 0 and 1 have the mean size
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    docs.repartition("shard").write.partitionBy("shard").parquet(f"{tmp_path}/old")
+    before = {f for s in (0, 1) for f in os.listdir(f"{tmp_path}/old/shard={s}")}
+    old = spark.read.parquet(f"{tmp_path}/old").select("doc_id", "text", "shard")
+    out = sharding.resharded(old.select("doc_id", "text", F.col("shard").alias("was")), F.col("was"), 4, slack=0.05, old_path=f"{tmp_path}/old")
+    found = out.collect()
+    assert sorted(r.doc_id for r in found) == list(range(80)) and all(r.shard == r.doc_id // 20 for r in found if r.doc_id < 40)
+    for s in range(4):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+    sizes = [sum(len(r.text) + 8 for r in found if r.shard == s) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 160 and before == {f for s in (0, 1) for f in os.listdir(f"{tmp_path}/old/shard={s}")}
+
+
+def test_reserved_and_clashing_names(spark, docs):
+    with pytest.raises(ValueError):
+        sharding.resharded(docs.withColumn("_minus", F.lit(1)), F.col("doc_id") % 5, 6)
+    with pytest.raises(ValueError):
+        lm_ppm.scored(docs.withColumn("_rare", F.lit(1)), lm_ppm.learned(docs, F.lit(True)))
+    extra = docs.withColumns({c: F.lit(4) for c in ("_text", "_sha", "_kept_id", "_kept_sha", "lang_pred", "quality_score")})
+    model = langid.learned(docs, F.lit(True), sample=5)
+    assert {r._text for r in langid.identified(extra, model).collect()} == {4} == {r._text for r in quality_cnn.scored(extra, quality_cnn.ConvolutionalScorer()).collect()}
+    assert exact_dedup.deduplicated(extra).columns == extra.columns and exact_dedup.deduplicated(extra).count() == exact_dedup.deduplicated(docs).count()
+
+
 def test_resharding(docs, none):
     rows = sharding.resharded(docs, F.col("doc_id") % 5, 6).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
@@ -470,6 +509,9 @@ def test_cutoffs_keep_good_documents(spark, none):
     good = [out[i].kept for i, q in labels if q]
     assert sum(good) >= 0.95 * len(good) and not any(out[i].kept for i, q in labels if not q)
     assert all(r.kept == (not r.base_failed) for r in quality_rules.judged(df, found.where("false")).collect())
+    few = quality_rules.cutoffs(quality_rules.with_rules(quality_rules.features(df)), found.where("doc_id < 150")).collect()
+    assert [(r.stratum, r.n_good, r.n_rejected) for r in few] == [(1, 120, 0)]  # 120 good documents without a false rejection suffice
+    assert not quality_rules.cutoffs(quality_rules.with_rules(quality_rules.features(df)), found.where("doc_id < 100")).collect()
     assert quality_rules.judged(none, found).count() == 0
 
 
@@ -487,6 +529,24 @@ def test_classifier_learns_and_scores_everything(spark, docs, none):
     assert list(model.score([b"", b"abc", b"x" * 70])) == pytest.approx(alone)
 
 
+def test_classifier_agrees_with_a_plain_convolution_and_its_gradient():
+    model, texts = quality_cnn.ConvolutionalScorer(3), [b"", b"abc", b"some words here and there", b"%%%%" * 9]
+    width, stride, p = quality_cnn.WIDTH, quality_cnn.STRIDE, model.parts
+
+    def plain(text):
+        padded = text + b"\0" * (width + stride)
+        places = range(0, max(len(text), 1), stride)
+        seen = [sum(p["embedding"][padded[at + k]] @ p["filters"][k] for k in range(width)) for at in places]
+        return 1 / (1 + math.exp(-(np.tanh(np.max(seen, 0) + p["bias"]) @ p["out"] + p["out_bias"][0])))
+
+    assert model.score(texts) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    # One step of learning lowers the loss of the texts it was shown.
+    loss = lambda m: -sum(math.log(s if y else 1 - s) for s, y in zip(m.score(texts[1:]), (1, 1, 0), strict=True))
+    first = loss(model)
+    again = quality_cnn.ConvolutionalScorer(3).fit(texts[1:], [1, 1, 0])
+    assert loss(again) < first / 4
+
+
 def test_index_finds_all_and_no_others():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     index = Index(keys[::2])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, text_or_empty, unused
 
 #: Salts of the two 64-bit halves of the content hash.
 SALTS = (17, 5003)
@@ -63,8 +63,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that repeat another's text, all its columns; of repeated rows one stays."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return out.dropDuplicates([id_col, "_sha"]).select(*[out[c] for c in docs.columns])
+    """docs without the rows that repeat another's text, all its columns, whatever their names; of repeated rows one stays."""
+    sha, kept_id, kept_sha = (unused(docs, name) for name in ("_sha", "_kept_id", "_kept_sha"))
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
+    rows = docs.withColumn(sha, F.sha2(normalised(text_col), 256))
+    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi")
+    return out.dropDuplicates([id_col, sha]).select(*[out[c] for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import Index, Texts, chunks, counted, mix
-from .common import batched, stored
+from .common import batched, reserved, stored
 
 #: Bytes of context.
 ORDER = 5
@@ -276,13 +276,14 @@ def scored(docs: DataFrame, corpus: Corpus) -> DataFrame:
 
     score: log10 probability of the text's bytes and its end under the byte model. Base: words
     (lower-cased A-Z) and one end, each log10((c + 1) / (N + 1 * (V + 1))). Null text: empty, so its
-    end alone. Columns with these names are replaced. Frequent words and n-grams are looked up; the
+    end alone. Columns with these names are replaced; those named _text, _row, _known, _log, _score, _rare or _grams are refused. Frequent words and n-grams are looked up; the
     others are joined with all counts and costs by key, as rows of no key that is frequent. N-grams
     that no training text has get their costs once each, through the shorter contexts.
     """
     spark = batched(docs.sparkSession)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [c for c in docs.columns if c not in added]
+    reserved(docs, "_text", "_row", "_known", "_log", "_score", "_rare", "_grams")
     keys, n = corpus.head
     shared = spark.sparkContext.broadcast((keys, n, *corpus.trie.head))  # bounded by HEAD and GRAM_HEAD
     order = corpus.trie.order

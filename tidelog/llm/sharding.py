@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, ranged, stored, text_or_empty
+from .common import new_path, ranged, reserved, stored, text_or_empty
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 8
@@ -56,9 +56,13 @@ def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, s
             left[e ^ 1] += push
 
 
-def capacities(total: int, shards: int) -> list[int]:
-    """Sizes of equal shards, at most one byte apart."""
-    return [total // shards + (i < total % shards) for i in range(shards)]
+def capacities(total: int, shards: int, old: dict[int, int] | None = None, slack: float = 0.0) -> list[int]:
+    """Sizes of equal shards, at most one byte apart; a shard of old within slack of that size keeps its own, so nothing of it moves."""
+    near = {i: s for i, s in (old or {}).items() if 0 <= i < shards and abs(s * shards - total) <= slack * total}
+    if len(near) == shards:
+        near.popitem()  # one shard takes what remains
+    rest, left = [i for i in range(shards) if i not in near], total - sum(near.values())
+    return [near[i] if i in near else left // len(rest) + (rest.index(i) < left % len(rest)) for i in range(shards)]
 
 
 def plan_transfers(old: dict[int, int], capacity: list[int]) -> list[Transfer]:
@@ -94,16 +98,21 @@ def plan_transfers(old: dict[int, int], capacity: list[int]) -> list[Transfer]:
     return out
 
 
+#: What places a row in its old shard; no column of these names may come with the documents.
+KEY = ("_old", "_minus", "_id", "_crc")
+
+
 def _order() -> list[Column]:
-    return [F.col("_old"), F.col("_minus"), F.col("_id"), F.col("_crc")]
+    return [F.col(c) for c in KEY]
 
 
 def _keyed(docs: DataFrame, old_shard: Column) -> DataFrame:
+    reserved(docs, *KEY)
     size = F.octet_length(text_or_empty()).cast("long") + ROW_BYTES
     return docs.withColumns({"_old": old_shard.cast("int"), "_minus": -size, "_id": F.col("doc_id"), "_crc": F.crc32(text_or_empty().cast("binary"))})
 
 
-def assigned(docs: DataFrame, old_shard: Column, shards: int) -> tuple[DataFrame, list[Transfer]]:
+def assigned(docs: DataFrame, old_shard: Column, shards: int, slack: float = 0.0) -> tuple[DataFrame, list[Transfer]]:
     """docs with `shard`, and the transfers planned. Adds no other column.
 
     Within an old shard rows stand from the largest to the smallest, so that cuts fall between small
@@ -117,7 +126,7 @@ def assigned(docs: DataFrame, old_shard: Column, shards: int) -> tuple[DataFrame
     parts = placed.groupBy("_old", "_pid").agg((-F.sum("_minus")).alias("_sum"))
     parts = stored(parts.withColumn("_offset", F.sum("_sum").over(Window.partitionBy("_old").orderBy("_pid")) - F.col("_sum")), "shard-parts")
     old = {r["_old"]: r["s"] for r in parts.groupBy("_old").agg(F.sum("_sum").alias("s")).collect()}
-    moves = plan_transfers(old, capacities(sum(old.values()), shards)) if old else []
+    moves = plan_transfers(old, capacities(sum(old.values()), shards, old, slack)) if old else []
     blocks, at = [], {}
     for move in moves:
         lo = at.get(move.src, 0)
@@ -148,22 +157,28 @@ def affected(moves: list[Transfer]) -> set[int]:
     return {s for m in moves if m.src != m.dst for s in (m.src, m.dst)}
 
 
-def resharded(docs: DataFrame, old_shard: Column, shards: int, columns: list[Column] | None = None) -> DataFrame:
+def resharded(docs: DataFrame, old_shard: Column, shards: int, columns: list[Column] | None = None, slack: float = 0.0, old_path: str | None = None) -> DataFrame:
     """Reshard docs and read the new shards back: columns (those of docs), shard, slot.
 
-    columns are taken from the rows as read, before slots are joined, so texts not asked for aren't shuffled again.
+    old_path: where docs lie as `<old_path>/shard=<n>`, n being old_shard. Then only the shards that
+    gain or lose rows are written anew and the others are read from their files there. slack: how far
+    from the mean size, as a share, a shard may stay as it is. columns are taken from the rows as
+    read, before slots are joined, so texts not asked for aren't shuffled again.
 
     slot: the row's place in its shard, over the shard's files by name and each file's rows. Null
     text: empty, of ROW_BYTES bytes; null ids come first among equal sizes; a null old shard holds
     the rows of no shard and all of them move. Empty table: empty result.
     """
     spark = docs.sparkSession
-    rows, _ = assigned(docs, F.coalesce(old_shard.cast("int"), F.lit(-1)), shards)
-    path = new_path(spark, "shards")
-    write_shards(rows, path)
-    back = spark.read.schema(rows.schema).parquet(path)
+    rows, moves = assigned(docs, F.coalesce(old_shard.cast("int"), F.lit(-1)), shards, slack)
+    path, changed = new_path(spark, "shards"), affected(moves)
+    write_shards(rows, path, changed if old_path else None)
     place = [F.col("shard"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    back = back.select(*(columns or docs.columns), *place)
+    read = lambda at: spark.read.schema(rows.schema).parquet(at)
+    back = read(path).select(*(columns or docs.columns), *place)
+    if old_path:
+        kept = sorted({m.src for m in moves} - changed)
+        back = back.unionByName(read(old_path).where(F.col("shard").isin(kept)).select(*(columns or docs.columns), *place))
     files = back.groupBy("shard", "_file").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_file")) - F.col("_n")
     files = files.select(F.col("shard").alias("_s"), F.col("_file").alias("_f"), before.alias("_before"))
