@@ -10,7 +10,7 @@ from tidelog.llm import exact_dedup, langid, mixing, ngram_join, packing
 from tidelog.llm.common import hashed_part, stored
 
 #: A prediction less likely than this is rejected.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.4
 TOKENIZER = "word_bpe_49k.json"
 
 
