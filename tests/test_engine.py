@@ -7,8 +7,12 @@ import pytest
 
 from tidelog.errors import BadToken, CollectionReset, CommitConflict, CursorTooOld, UnknownCollection
 from tidelog.operators.log_write import Limits
+from tidelog.operators.ranks import ranked
+from tidelog.plans import engine
 from tidelog.plans.engine import BlobRules, CollectionSpec, LogEngine, log_store
 from tidelog.schema import LOG_TABLES, OPERATION
+from tidelog.sources.changelog import _Reader
+from tidelog.sources.store import Manifests
 
 GROUPS = f"scope_id string, collection_id string, client_id string, group_id string, arrival long, ops array<struct<{OPERATION.replace(' ', ':', 1)}>>"
 GROUPS = "scope_id string, collection_id string, client_id string, group_id string, arrival long, ops array<struct<op:string,entity_type:string,entity_id:string,base_version:string,data:string,blobs:array<string>>>"
@@ -190,6 +194,59 @@ def test_purge_leaves_nothing_and_a_new_epoch_follows(log):
         log.engine.changes("u1", "ledger", old)
 
 
+def test_erasure_and_trimming_leave_no_file_behind(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    log.push(("g1", [put("a", {"title": "SECRET"})]))
+    log.push(("g2", [put("b", {"title": "other"})]), scope="u2")
+    old = log.engine.store.version()
+    log.engine.purge("u1")
+    held = [r["data"] for name in ("changes", "entities") for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/log/{name}").collect()]
+    assert held and all("SECRET" not in (d or "") for d in held)
+    with pytest.raises(FileNotFoundError):
+        log.engine.store.read(old)
+    assert log.engine.document("u2", "ledger", "wallet", "b") is not None
+    reader = _Reader({"path": str(tmp_path / "log")})
+    with pytest.raises(FileNotFoundError, match="trimmed"):
+        reader.partitions({"version": 0}, reader.latestOffset())
+    assert reader.partitions({"version": old}, {"version": old}) == []
+
+
+def test_manifests_through_hadoop_are_created_once(spark, tmp_path):
+    manifests = Manifests(spark, f"file://{tmp_path}/m")
+    manifests.local = None  # as on a file system that isn't local
+    manifests.create(0, {"tables": {}, "appended": {}})
+    with pytest.raises(CommitConflict):
+        manifests.create(0, {"tables": {"x": []}, "appended": {}})
+    assert manifests.versions() == [0] and manifests.read(0) == {"tables": {}, "appended": {}}
+    spark.range(1).write.parquet(f"{tmp_path}/m/t/one")
+    assert [p for p, _ in manifests.folders("t")] == [f"file://{tmp_path}/m/t/one"]
+    manifests.delete(f"file://{tmp_path}/m/t/one")
+    manifests.remove(0)
+    assert manifests.folders("t") == [] and manifests.versions() == []
+
+
+def test_events_reach_sinks_and_many_parts_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine, "MOST_PARTS", 2)
+    seen = []
+
+    def broken(event):
+        raise RuntimeError("sink")
+
+    log = Log(spark, str(tmp_path / "log"), sinks=[broken, seen.append])
+    for n in range(3):
+        log.push((f"g{n}", [put(f"e{n}", {"n": n})]))
+    assert log.engine.store.fragments() == 1 and [r["seq"] for r in log.engine.changes("u1", "ledger").rows] == [1, 2, 3]
+    assert {(e["outcome"], e["groups"]) for e in seen if e["kind"] == "push"} == {("applied", 1)} and list(log.engine.metrics) == seen
+
+
+def test_ranks_span_partitions(spark):
+    rows = [(i % 3 if i % 7 else None, (i * 37) % 101) for i in range(101)]
+    got = ranked(spark.createDataFrame(rows, "g long, v long"), ["g"], ["v"]).collect()
+    for g in {g for g, _ in rows}:
+        own = sorted(v for x, v in rows if x == g)
+        assert [r["_rank"] for r in sorted((r for r in got if r.g == g), key=lambda r: r.v)] == list(range(1, len(own) + 1))
+
+
 def test_a_projection_stops_the_commit_and_a_listener_does_not(spark, tmp_path):
     def refuse(_):
         raise RuntimeError("no")
@@ -198,7 +255,7 @@ def test_a_projection_stops_the_commit_and_a_listener_does_not(spark, tmp_path):
         Log(spark, str(tmp_path / "p"), projections=[refuse]).push(("g1", [put("a", {})]))
     log = Log(spark, str(tmp_path / "l"), listeners=[lambda *a: refuse(a)])
     assert log.push(("g1", [put("a", {})]))["g1"]["status"] == "applied"
-    assert [m["kind"] for m in log.engine.metrics] == ["listener_failed"]
+    assert [m["kind"] for m in log.engine.metrics if m["kind"] not in ("push", "slow_push")] == ["listener_failed"]
 
 
 def test_only_one_of_two_writers_commits_a_version(log):

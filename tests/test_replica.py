@@ -2,13 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_engine import Clock
+from tidelog.errors import PendingChanges
 from tidelog.operators import files, outbox, replica, statements
 from tidelog.plans import queries
 from tidelog.plans.engine import CollectionSpec, LogEngine, log_store
-from tidelog.plans.replica import Replica, replica_store
+from tidelog.plans.replica import Adapter, Replica, replica_store
 from tidelog.plans.synthetic import view
 from tidelog.schema import ENTITY, REPLICA_TABLES, shaped
 
@@ -159,3 +161,117 @@ def test_two_clients_converge(spark, tmp_path):
     b.pull("u", "l")
     rows = [[json.loads(r["data"]) for r in x.store.read()["documents"].collect()] for x in (a, b)]
     assert rows == [[{"n": 3}], [{"n": 3}]] and b.status().first()["pending"] == 0
+
+
+def _pair(spark, tmp_path, **options):
+    clock = Clock()
+    log = LogEngine(log_store(spark, str(tmp_path / "log")), [CollectionSpec("l", ("w",))], clock=clock)
+    return clock, log, Replica(replica_store(spark, str(tmp_path / "a")), log, "a", clock, **options)
+
+
+def test_a_staged_page_survives_a_crash_and_needs_no_log(spark, tmp_path):
+    clock, log, a = _pair(spark, tmp_path)
+    b = Replica(replica_store(spark, str(tmp_path / "b")), log, None, clock)
+    a.cycle("u", "l")
+    b.cycle("u", "l")
+    for n in (1, 2):
+        a.mutate("u", "l", [("w", "1", f'{{"n":{n}}}'), ("w", str(n + 5), "{}")])
+        assert a.push_once("u", "l") == "applied"
+
+    def stop(ops):
+        raise RuntimeError("killed")
+
+    before = b.store.read()["replicas"].first()["cursor"]
+    b.adapter = Adapter(apply_remote=stop)
+    with pytest.raises(RuntimeError):
+        b.pull("u", "l")
+    state = b.store.read()
+    assert state["replicas"].first()["cursor"] == before and state["inbox_batches"].count() == 2 and state["documents"].count() == 0
+    b.adapter, b.log = Adapter(), None  # the log can't be reached
+    with pytest.raises(AttributeError):
+        b.pull("u", "l")
+    state = b.store.read()
+    assert {r.entity_id: r.data for r in state["documents"].collect()} == {"1": '{"n":2}', "6": "{}", "7": "{}"} and state["inbox_batches"].count() == state["inbox_ops"].count() == 0
+    row = state["replicas"].first()
+    assert row["cursor"].endswith(".2") and row["failure_count"] == 1 and b.client_id("u") == b.client_id("u") != "a"
+
+
+def test_edited_entities_meet_foreign_and_own_changes_of_one_page(spark, tmp_path):
+    clock, log, a = _pair(spark, tmp_path)
+    b = Replica(replica_store(spark, str(tmp_path / "b")), log, "b", clock)
+    a.mutate("u", "l", [("w", "1", '{"n":1}')])
+    a.cycle("u", "l")
+    b.cycle("u", "l")
+    b.mutate("u", "l", [("w", "1", '{"n":9}')])
+    a.mutate("u", "l", [("w", "1", '{"n":2}')])
+    a.push_once("u", "l")
+    offered = []
+    b.adapter = Adapter(resolve=lambda row: offered.append(row) or (None if len(offered) < 2 else ("take_server", None)))
+    b.pull("u", "l")
+    assert b.offer_conflicts("u", "l") == 0 and b.offer_conflicts("u", "l") == 0 and len(offered) == 1
+    b._offered.clear()  # as after a restart
+    assert b.offer_conflicts("u", "l") == 1 and b.store.read()["documents"].first()["data"] == '{"n":2}'
+
+
+def test_a_log_out_of_reach_leaves_the_edits_queued(spark, tmp_path):
+    clock, log, a = _pair(spark, tmp_path)
+    a.cycle("u", "l")
+    a.mutate("u", "l", [("w", "1", "{}")])
+
+    class Away:
+        def __getattr__(self, name):
+            if name in ("push", "changes", "snapshot"):
+                raise ConnectionError("offline")
+            return getattr(log, name)
+
+    a.log = Away()
+    assert a.push_once("u", "l") == "failed" and a.push_once("u", "l") == "waiting"
+    head = a.store.read()["groups"].first()
+    assert (head["state"], head["attempts"], head["last_error"]) == ("PENDING", 1, "offline")
+    with pytest.raises(ConnectionError):
+        a.bootstrap("u", "l")
+    a.pause("u")
+    a.cycle("u", "l")
+    a.resume("u")
+    with pytest.raises(PendingChanges):
+        a.sign_out("u")
+    clock.pass_days(1)
+    a.log = log
+    assert a.push_once("u", "l") == "applied" and a.push_once("u", "l") == "empty"
+    a.sign_out("u")
+    assert a.store.read()["records"].count() == 0
+
+
+def test_a_group_waits_for_its_files_and_declares_them(spark, tmp_path):
+    named = lambda docs: docs.select(*ENTITY, F.array(F.struct(F.get_json_object("data", "$.photo").alias("blob_id"), F.lit("REQUIRED").alias("binding"))).alias("files"))
+    outcomes = iter(["error", "uploaded"])
+    moved = []
+
+    def move(due):
+        moved.append([r.direction for r in due.collect()])
+        return due.select("scope_id", "collection_id", "blob_id", F.lit(next(outcomes)).alias("outcome"), F.lit("why").alias("message"))
+
+    refused = []
+    clock, log, a = _pair(spark, tmp_path, adapter=Adapter(files=named, held=lambda rows: rows, on_rejected=refused.append), move=move)
+    a.cycle("u", "l")
+    a.mutate("u", "l", [("w", "1", '{"photo":"p1"}')])
+    a.reconcile_files()
+    assert a.push_once("u", "l") == "waiting_on_files" and a.move_files() == 1 and a.push_once("u", "l") == "waiting_on_files"
+    assert a.next_wake() == a._ms() + 1000 and a.store.read()["files"].first()["state"] == "UPLOADING"
+    clock.pass_days(1)
+    assert a.move_files() == 1 and moved == [["upload"], ["upload"]]
+    log.register(spark.createDataFrame([("u", "l", "p1", "image/png", 5, None)], "scope_id string, collection_id string, blob_id string, content_type string, size long, checksum string"))
+    assert a.push_once("u", "l") == "applied" and log.document("u", "l", "w", "1")["blobs"] == ["p1"]
+    ids = spark.createDataFrame([("u", "l", "p1", False)], "scope_id string, collection_id string, blob_id string, held boolean")
+    a.evict_files(ids)
+    assert a.store.read()["files"].first()["state"] == "REMOTE"
+    a.request_files(ids)
+    assert a.store.read()["files"].first()["wanted"]
+    b = Replica(replica_store(spark, str(tmp_path / "b")), log, "b", clock, adapter=Adapter(files=named))
+    b.cycle("u", "l")
+    assert [(r.blob_id, r.state, r.wanted) for r in b.store.read()["files"].collect()] == [("p1", "REMOTE", True)]
+    a.mutate("u", "l", [("x", "1", "{}")])
+    a.adapter = Adapter(on_rejected=refused.append)
+    assert a.push_once("u", "l") == "rejected" and [r.reject_code for r in refused] == ["UNKNOWN_ENTITY_TYPE"]
+    a.remove_files("u")
+    assert a.store.read()["files"].count() == 0

@@ -70,12 +70,18 @@ def _rewritten(files: DataFrame, events: DataFrame, new: dict[str, Column]) -> D
     return shaped(rows.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in files.columns]), REPLICA_TABLES["files"])
 
 
+def started(files: DataFrame, moves: DataFrame) -> DataFrame:
+    """files with those about to move (next_transfers) marked so."""
+    state = F.when(F.col("_e.direction") == "upload", "UPLOADING").otherwise("DOWNLOADING")
+    return _rewritten(files, moves.select(*BLOB, "direction"), {"state": state, "transferred": F.lit(0)})
+
+
 def transferred(files: DataFrame, events: DataFrame, now: int, most: int = MOST_ATTEMPTS) -> DataFrame:
     """files after transfers (BLOB, outcome, message).
 
     uploaded and downloaded end in UPLOADED and READY; refused in REFUSED; lost (no bytes anywhere) in
     UNAVAILABLE; not_ready waits a minute without counting; error waits with backoff and gives up
-    after `most` attempts: REFUSED-like uploads stay LOCAL-less as UNAVAILABLE.
+    after `most` attempts, when the file is UNAVAILABLE.
     """
     outcome, attempts = F.col("_e.outcome"), F.col("attempts") + 1
     final = F.when(outcome == "uploaded", "UPLOADED").when(outcome == "downloaded", "READY").when(outcome == "refused", "REFUSED").when(outcome == "lost", "UNAVAILABLE")

@@ -72,10 +72,11 @@ def classified_snapshot(items: DataFrame, records: DataFrame) -> DataFrame:
     return rows.withColumn("action", action).drop("_tracked", "local_rev", "acked_rev", "server_version")
 
 
-def last_actions(actions: DataFrame, order: list[str]) -> DataFrame:
-    """Of several changes of an entity in a run of batches the last; what matters to a record is where it ends."""
-    rest = [c for c in actions.columns if c not in ENTITY]
-    return actions.groupBy(*ENTITY).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_a")).select(*ENTITY, "_a.*")
+def last_actions(actions: DataFrame, order: list[str], of: list[str] = []) -> DataFrame:  # noqa: B006
+    """Of several changes of an entity (and of one kind, given columns for it) in a run of batches the last; what matters to a record is where it ends."""
+    key = [*ENTITY, *of]
+    rest = [c for c in actions.columns if c not in key]
+    return actions.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_a")).select(*key, "_a.*")
 
 
 def with_versions(records: DataFrame, actions: DataFrame, generation: Column) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import BlobRefused, CollectionReset, CommitConflict, CursorTooOld, UnknownBlob, UnknownCollection
 from ..functions.tokens import make_page_token
 from ..operators import blobs as file_ops
-from ..operators import log_read, log_write, retention
+from ..operators import diagnostics, log_read, log_write, retention
 from ..operators.log_write import Limits
 from ..schema import BLOB, COLLECTION, LOG_TABLES
 from ..sources.shared import stored
@@ -33,6 +35,8 @@ class CollectionSpec:
             raise ValueError("a collection takes at least one entity type and documents of some size")
 
 
+#: A push that takes longer is reported.
+SLOW_MS = 500
 #: A table of so many parts is rewritten into one, laid out by collection and sequence.
 MOST_PARTS = 64
 
@@ -57,6 +61,7 @@ class LogEngine:
 
     projections: called with the written changes before the commit; an error in one stops it.
     listeners: called after it with (scope, collection, head); an error in one is only recorded.
+    sinks: called with each event (a dict); an error in one is ignored. The last 500 are in `metrics`.
     storage: what is known of uploaded bytes, a function from blobs to (BLOB, found, rejected, found_size, found_checksum).
     """
 
@@ -72,13 +77,15 @@ class LogEngine:
         listeners: Iterable[Callable[[str, str, int], None]] = (),
         storage: Callable[[DataFrame], DataFrame] | None = None,
         on_released: Callable[[DataFrame], None] | None = None,
+        sinks: Iterable[Callable[[dict], None]] = (),
     ):
         if limits.operations < 1 or limits.page < 1 or limits.retention_days < 1:
             raise ValueError("limits start at 1")
         self.store, self.specs, self.limits, self.blob_rules = store, {s.collection_id: s for s in specs}, limits, blob_rules
         self.clock, self.new_id, self.projections, self.listeners = clock, new_id, list(projections), list(listeners)
         self.storage, self.on_released = storage, on_released
-        self.metrics: list[dict] = []
+        self.metrics: deque[dict] = deque(maxlen=500)
+        self.sinks = list(sinks)
         store.migrate()
 
     # -- helpers
@@ -91,7 +98,13 @@ class LogEngine:
         return F.lit(self.clock()).cast("timestamp")
 
     def _record(self, kind: str, **values: object) -> None:
-        self.metrics.append({"kind": kind, "at": self.clock(), **values})
+        event = {"kind": kind, "at": self.clock(), **values}
+        self.metrics.append(event)
+        for sink in self.sinks:
+            try:
+                sink(event)
+            except Exception:  # what a sink does with an event is no concern of the log
+                continue
 
     def _check(self, collection: str) -> CollectionSpec:
         if collection not in self.specs:
@@ -172,8 +185,13 @@ class LogEngine:
             old = repeats.select(*COLLECTION, *key, "arrival", "status", seq.alias("seq"), "response", F.lit("repeated").alias("outcome"))
             return fresh.unionByName(later).unionByName(old)
 
+        began = time.monotonic()
         answers = self._retry(attempt)
+        if (took := round((time.monotonic() - began) * 1000)) > SLOW_MS:
+            self._record("slow_push", ms=took)
         self._compact()
+        for row in diagnostics.push_outcomes(answers.withColumn("status", F.col("outcome"))).collect():
+            self._record("push", scope=row["scope_id"], collection=row["collection_id"], outcome=row["status"], groups=row["groups"])
         applied = answers.where("outcome = 'applied'").groupBy(*COLLECTION).agg(F.max("seq").alias("head"))
         for row in applied.collect():
             for listener in self.listeners:
@@ -301,7 +319,10 @@ class LogEngine:
             self.store.commit(base, replace={"blobs": after})
             return outcome
 
-        return self._retry(attempt)
+        outcome = self._retry(attempt)
+        for row in outcome.groupBy("outcome").count().collect():
+            self._record("blobs_refused" if row["outcome"] in file_ops.REFUSALS else "blobs_registered", outcome=row["outcome"], count=row["count"])
+        return outcome
 
     def _verified(self, rows: DataFrame) -> DataFrame:
         if self.storage is None:
@@ -358,6 +379,8 @@ class LogEngine:
         report, found = self._retry(attempt)
         if not dry_run and self.on_released:
             self.on_released(found)
+        for row in report:
+            self._record("blobs_collected", dry_run=dry_run, **row.asDict())
         return report
 
     def confirm_pending_uploads(self) -> int:
