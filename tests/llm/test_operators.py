@@ -547,6 +547,22 @@ def test_classifier_agrees_with_a_plain_convolution_and_its_gradient():
     assert loss(again) < first / 4
 
 
+def test_long_texts_are_walked_in_chunks_without_a_seam():
+    draw = random.Random(3)
+    text = " ".join(words(3000, 8, 900)).encode() + bytes(draw.randrange(256) for _ in range(999))
+    model = langid.LanguageModel({"x": [text[:4000]], "y": [text[9000:12000]]})
+    for piece in (7, 100, 4096):
+        assert model.bits([text], piece)[0] == pytest.approx(model.bits([text])[0], rel=1e-5)
+    scorer = quality_cnn.ConvolutionalScorer()
+    whole = scorer.score([text])[0]
+    held, begin, end = scorer._held([text])
+    best = scorer._responses(held, scorer._tables)[begin[0] : end[0]].max(0)
+    for piece in (8, 100, 4096):
+        assert scorer._walked(text, piece)[0] == pytest.approx(best)
+    long = text * (1 + (1 << 21) // len(text))
+    assert 0 <= scorer.score([long])[0] <= 1 and whole >= 0 and model.predict([long])[0][0] in ("x", "y")
+
+
 def test_index_finds_all_and_no_others():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     index = Index(keys[::2])

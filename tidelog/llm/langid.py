@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytegrams import Index, Texts, chunks, counted
+from .bytegrams import CHUNK, Index, Texts, chunks, counted
 from .common import batched, unused
 
 #: Bytes of context, and the largest number of documents of a language that its statistics are learned from.
@@ -70,8 +70,18 @@ class LanguageModel:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return counted(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code length of each text in each language."""
+    def bits(self, texts: list[bytes], piece: int = CHUNK) -> np.ndarray:
+        """Code length of each text in each language; a text longer than piece is walked in pieces, each after the bytes before it."""
+        if len(texts) == 1 and len(texts[0]) > piece > self.order:
+            text = texts[0]
+            out = self._bits([text[:piece]])
+            for at in range(piece, len(text), piece):
+                before = text[at - self.order : at]
+                out = out + self._bits([text[at - self.order : at + piece]]) - self._bits([before])
+            return out
+        return self._bits(texts)
+
+    def _bits(self, texts: list[bytes]) -> np.ndarray:
         held = Texts(texts, self.order)
         keys = held.grams(self.order + 1)
         index, cost = self.levels[self.order]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytegrams import Texts, chunks
+from .bytegrams import CHUNK, Texts, chunks
 from .common import batched, unused
 
 #: Bytes that a filter sees, bytes between two places of a filter, numbers of filters and of embedding dimensions.
@@ -92,16 +92,28 @@ class ConvolutionalScorer:
                     self.parts[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
         return self
 
+    def _walked(self, text: bytes, piece: int = CHUNK) -> np.ndarray:
+        """Largest response of each filter over a long text, in overlapping chunks of whole strides."""
+        best, places = None, piece // STRIDE
+        for at in range(0, len(text), places * STRIDE):
+            held, begin, end = self._held([text[at : at + places * STRIDE + WIDTH - STRIDE]])
+            own = self._responses(held, self._tables)[begin[0] : min(end[0], begin[0] + places)].max(0, keepdims=True)
+            best = own if best is None else np.maximum(best, own)
+        return best
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of good quality; an empty text shows the filters padding alone."""
         if self._tables is None:
             self._tables = self.tables()
         out = np.zeros(len(texts))
         for i, j in chunks(texts):
-            held, begin, end = self._held(texts[i:j])
-            response = self._responses(held, self._tables)
-            cuts = np.stack([begin, end], 1).ravel()
-            best = np.maximum.reduceat(np.concatenate([response, response[-1:]]), np.minimum(cuts, len(response)))[::2]
+            if j == i + 1 and len(texts[i]) > CHUNK:
+                best = self._walked(texts[i])
+            else:
+                held, begin, end = self._held(texts[i:j])
+                response = self._responses(held, self._tables)
+                cuts = np.stack([begin, end], 1).ravel()
+                best = np.maximum.reduceat(np.concatenate([response, response[-1:]]), np.minimum(cuts, len(response)))[::2]
             out[i:j] = 1 / (1 + np.exp(-(self._pooled(best) @ self.parts["out"] + self.parts["out_bias"])))
         return out
 
