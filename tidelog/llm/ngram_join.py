@@ -273,11 +273,13 @@ def _enough(common: Column, total: Column, num: int, den: int) -> Column:
     return common * (num + den) >= total * num
 
 
-def _possible(a: str, b: str, num: int, den: int) -> Column:
+def _possible(a: str, b: str, num: int, den: int, sketched: bool = False) -> Column:
     """What any similar pair satisfies in the bucket of its first common n-gram: enough members from there on, and near sketches."""
     col = lambda side, name: F.col(f"{side}.{name}")
     total = (col(a, "n") + col(b, "n")).cast("long")
     rest = F.least(col(a, "n") - col(a, "place"), col(b, "n") - col(b, "place")).cast("long")
+    if not sketched:
+        return _enough(rest, total, num, den)
     apart = sum((F.bit_count(col(a, "sketch")[k].bitwiseXOR(col(b, "sketch")[k])) for k in range(1, SKETCH // 64)), F.bit_count(col(a, "sketch")[0].bitwiseXOR(col(b, "sketch")[0])))
     # |A - B| + |B - A| = total - 2 * common is at least the distance of the parity sketches.
     return _enough(rest, total, num, den) & ((total - apart) * (num + den) >= 2 * num * total)
@@ -329,20 +331,20 @@ def _links(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame
                 several = rows.groupBy("gram").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a != _b")
             rows = rows.join(several.select("gram"), "gram", "left_semi")
             if turn == ROUNDS:
-                rows = rows.withColumn("before", F.lag("gram").over(Window.partitionBy("node").orderBy("place")))
+                rows = rows.withColumn("before", F.lag("gram").over(Window.partitionBy("node").orderBy("place"))).join(sets.select("node", "sketch"), "node")
             rows = stored(rows, "bucket-rows")
             if rows.isEmpty():
                 continue
         if turn < ROUNDS:
-            best = rows.groupBy("gram", "root").agg(F.min(F.struct(F.col("place"), F.col("n"), F.col("node"), F.col("sketch"))).alias("best"), F.count(F.lit(1)).alias("size"))
+            best = rows.groupBy("gram", "root").agg(F.min(F.struct("place", "n", "node")).alias("best"), F.count(F.lit(1)).alias("size"))
             # The first leader comes from the whole bucket, the next from the smaller components.
             rank = F.struct(F.lit(0) if not turn else F.col("size"), "best")
             lead = best.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), F.col("root"))).alias("l"))
-            lead = lead.select("gram", F.col("l.root").alias("root"), F.col("l.rank.best.place").alias("place"), F.col("l.rank.best.n").alias("n"), F.col("l.rank.best.node").alias("node"), F.col("l.rank.best.sketch").alias("sketch"))
+            lead = lead.select("gram", F.col("l.root").alias("root"), F.col("l.rank.best.place").alias("place"), F.col("l.rank.best.n").alias("n"), F.col("l.rank.best.node").alias("node"))
             joined = rows.alias("a").join(lead.alias("b"), "gram").where((F.col("a.root") != F.col("b.root")) & _possible("a", "b", num, den))
         else:
             fresh = F.col("a.before").isNull() | F.col("b.before").isNull() | (F.col("a.before") != F.col("b.before"))
-            joined = rows.alias("a").join(rows.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") < F.col("b.root")) & fresh & _possible("a", "b", num, den))
+            joined = rows.alias("a").join(rows.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") < F.col("b.root")) & fresh & _possible("a", "b", num, den, True))
         pairs = joined.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
         found = _verified(_near(pairs, sets, num, den), sets, num, den)
         links = stored(found, "links")
@@ -384,7 +386,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     may = spark.sparkContext.broadcast(NodeFilter(chosen))  # at most FILTER bits
     sets = only.mapInArrow(_candidates(words, num, den, order, may), _SET).join(chosen, "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]), "ngram-sets")
-    buckets = sets.select("node", "n", "sketch", F.posexplode("grams").alias("place", "gram"))
+    buckets = sets.select("node", "n", F.posexplode("grams").alias("place", "gram"))
     several = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("gram")
     buckets = stored(buckets.join(several, "gram", "left_semi"), "buckets")
     roots = _links(sets, buckets, num, den)
