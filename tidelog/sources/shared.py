@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
     spark.conf.set("spark.checkpoint.dir", root)
@@ -52,4 +54,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that stored() gave, once nothing reads them any more, and let the shuffle files of finished plans go.
+
+    Spark removes shuffle files when the driver's garbage collector finds their plans, which on a
+    large heap may be long after; so it is asked to look now.
+    """
+    for df in tables:
+        drop_path(df.sparkSession, df._stored_at)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
