@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ranged  # noqa: F401
-from ..sources.shared import new_path, stored  # noqa: F401
+from ..sources.shared import new_path, release, stored  # noqa: F401
 
 #: One white-space character; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"

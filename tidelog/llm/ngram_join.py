@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..operators.components import components
 from .bytegrams import Index, Texts, chunks, mix
-from .common import batched, stored
+from .common import batched, release, stored
 
 #: Fragments of the global order; the last holds the frequent n-grams.
 FRAGMENTS = 4
@@ -348,10 +348,13 @@ def _links(sets: DataFrame, buckets: DataFrame, num: int, den: int) -> DataFrame
         pairs = joined.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
         found = _verified(_near(pairs, sets, num, den), sets, num, den)
         links = stored(found, "links")
+        done = [links, rows] if turn else [links]
         if roots is None:
             roots = stored(components(links), "roots")
         elif not links.isEmpty():
+            done.append(roots)
             roots = stored(components(links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))), "roots")
+        release(*done)
     return roots
 
 
@@ -386,10 +389,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     may = spark.sparkContext.broadcast(NodeFilter(chosen))  # at most FILTER bits
     sets = only.mapInArrow(_candidates(words, num, den, order, may), _SET).join(chosen, "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]), "ngram-sets")
+    release(chosen)
     buckets = sets.select("node", "n", F.posexplode("grams").alias("place", "gram"))
     several = buckets.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("gram")
     buckets = stored(buckets.join(several, "gram", "left_semi"), "buckets")
     roots = _links(sets, buckets, num, den)
+    release(sets, buckets)
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("_least"))
     linked = nodes.join(roots, "node")
     named_roots = linked.groupBy("root").agg(F.min("_least").alias("_component"))
