@@ -239,6 +239,45 @@ def test_events_reach_sinks_and_many_parts_are_joined(spark, tmp_path, monkeypat
     assert {(e["outcome"], e["groups"]) for e in seen if e["kind"] == "push"} == {("applied", 1)} and list(log.engine.metrics) == seen
 
 
+def test_reads_open_only_the_parts_that_may_hold_their_rows(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    for n, scope in enumerate(["u1", "u2", "u1", "u3"]):
+        log.push((f"g{n}", [put(f"e{n}", {"n": n})]), scope=scope, client=f"c{n}")
+    store = log.engine.store
+    whole = {name: rows.collect() for name, rows in store.read().items()}
+
+    def folders(name, **within):
+        rows = store.read(names=[name], **within)[name]
+        kept = [r for r in whole[name] if all((low is None or r[c] >= low) and (high is None or r[c] <= high) for c, (low, high) in within.items())]
+        assert sorted(rows.collect()) == sorted(kept)
+        return {path.rsplit("/", 2)[1] for path in rows.inputFiles()}
+
+    assert [len(folders("changes", scope_id=(s, s))) for s in ("u0", "u1", "u2")] == [0, 2, 1]
+    assert len(folders("batches", scope_id=("u1", "u1"), seq=(2, None))) == 1
+    assert len(folders("entities", scope_id=("u2", None))) == 2 and len(folders("collections", scope_id=(None, "u1"))) == 2
+    assert len(folders("push_results", client_id=("c1", "c2"))) == 2
+    assert len(store.read(names=["push_results"], scope_id=("u3", "u3"))["push_results"].inputFiles()) == 4  # answers are known in any collection
+    assert store.manifest(store.version())["tables"]["blobs"] == []  # nothing was written
+    assert log.push(("g0", [put("other", {})]), scope="u9", client="c0")["g0"]["outcome"] == "repeated"
+
+
+def test_merging_leaves_large_old_parts_alone(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    log.push(*[(f"g{n}", [put(f"e{n}", {"n": n})]) for n in range(20)])
+    for n in range(2):
+        log.push((f"h{n}", [put("e0", {"n": -n}, base=str(21 + n - 1) if n else "1")]))
+    store = log.engine.store
+    before, paths = {name: sorted(map(str, rows.collect())) for name, rows in store.read().items()}, store.manifest(store.version())["tables"]
+    assert store.compact(most=3) == store.version() and store.manifest(store.version())["tables"] == paths  # not more than three
+    store.compact(most=2)
+    after = store.manifest(store.version())["tables"]
+    for name in ("batches", "changes", "push_results", "entities"):
+        assert len(paths[name]) == 3 and len(after[name]) == 2 and after[name][0] == paths[name][0]
+    assert len(after["collections"]) == 1
+    assert {name: sorted(map(str, rows.collect())) for name, rows in store.read().items()} == before
+    assert log.engine.document("u1", "ledger", "wallet", "e0")["data"] == '{"n":-1}' and log.engine.head("u1", "ledger").endswith(".22")
+
+
 def test_ranks_span_partitions(spark):
     rows = [(i % 3 if i % 7 else None, (i * 37) % 101) for i in range(101)]
     got = ranked(spark.createDataFrame(rows, "g long, v long"), ["g"], ["v"]).collect()

@@ -37,7 +37,7 @@ class CollectionSpec:
 
 #: A push that takes longer is reported.
 SLOW_MS = 500
-#: A table of so many parts is rewritten into one, laid out by collection and sequence.
+#: Of a table of more parts the newest are merged.
 MOST_PARTS = 64
 
 
@@ -111,15 +111,19 @@ class LogEngine:
             raise UnknownCollection(collection)
         return self.specs[collection]
 
-    def _retry(self, attempt: Callable[[int, dict[str, DataFrame]], object], times: int = 20):
+    def _retry(self, attempt: Callable[[int, dict[str, DataFrame]], object], names: Iterable[str] | None = None, times: int = 20):
         for turn in range(times):
             base = self.store.version()
             try:
-                return attempt(base, self.store.read(base))
+                return attempt(base, self.store.read(base, names))
             except CommitConflict:
                 if turn + 1 == times:
                     raise
 
+    def _own(self, scope: str, collection: str, *names: str, version: int | None = None, **within: tuple[object, object]) -> dict[str, DataFrame]:
+        """The named tables, from the parts that may hold rows of the collection."""
+        return self.store.read(version, names, scope_id=(scope, scope), collection_id=(collection, collection), **within)
+
     def _collection(self, state: dict[str, DataFrame], scope: str, collection: str) -> Row | None:
         return log_read.of_collection(state["collections"], scope, collection).first()
 
@@ -132,7 +136,9 @@ class LogEngine:
         request before anything is created. Repeats get the stored answer, with status `repeated` in
         `outcome`.
         """
-        named = [row[0] for row in groups.select("collection_id").distinct().collect()]
+        keys = (*COLLECTION, "client_id")
+        ends = groups.agg(F.collect_set("collection_id").alias("named"), *[f(c).alias(f"{side}_{c}") for c in keys for side, f in (("least", F.min), ("most", F.max))]).first()
+        named, within = ends["named"], {c: (ends[f"least_{c}"], ends[f"most_{c}"]) for c in keys}
         for name in named:
             self._check(name)
         allowed = self.spark.createDataFrame([(s.collection_id, t) for s in self.specs.values() for t in s.entity_types], "collection_id string, entity_type string")
@@ -140,13 +146,14 @@ class LogEngine:
         for name in named:
             by_limit.setdefault(self.specs[name].max_document_bytes, []).append(name)
 
-        def attempt(base: int, state: dict[str, DataFrame]) -> DataFrame:
+        def attempt(base: int, whole: dict[str, DataFrame]) -> DataFrame:
             for (scope, collection), epoch in (epochs or {}).items():
-                row = self._collection(state, scope, collection)
+                row = self._collection(self._own(scope, collection, "collections", version=base), scope, collection)
                 if epoch is not None and (row is None or row["epoch"] != epoch):
                     self._record("reset", scope=scope, collection=collection)
                     raise CollectionReset(row["epoch"] if row else None)
             now = self._now()
+            state = self.store.read(base, **within)
             new, repeats = log_write.split_replays(groups, state["push_results"])
             new, again = log_write.first_of_each(new)
             parts = []
@@ -157,20 +164,21 @@ class LogEngine:
             verdicts, written = parts[0]
             for v, w in parts[1:]:
                 verdicts, written = verdicts.unionByName(v), written.unionByName(w)
-            written = stored(written, "written")
+            verdicts, written = stored(verdicts, "verdicts"), stored(written, "written")  # each is read several times, by the caller too
             for projection in self.projections:
                 projection(written)
-            refs, touched = file_ops.replaced(state["blob_refs"], written)
-            touched = stored(touched, "touched")
-            replace = {"collections": log_write.with_collections(state["collections"], groups, verdicts, now, F.expr("uuid()"))}
+            refs, touched = file_ops.replaced(whole["blob_refs"], written)
+            touched, replace = stored(touched, "touched"), {}
             if not touched.isEmpty():  # most pushes name no file and leave these tables alone
-                replace |= {"blob_refs": refs, "blobs": file_ops.settled(state["blobs"], refs, touched, now)}
+                replace = {"blob_refs": refs, "blobs": file_ops.settled(whole["blobs"], refs, touched, now)}
+            touched_collections = state["collections"].join(groups.select(*COLLECTION).distinct(), COLLECTION, "left_semi")
             answers = verdicts.withColumns({"response": log_write.response(), "created_at": now})
             batches = verdicts.where("status = 'applied'").withColumn("committed_at", now)
             touched_entities = state["entities"].join(written.select(*log_write.ENTITY).distinct(), log_write.ENTITY, "left_semi")
             self.store.commit(
                 base,
                 append={
+                    "collections": log_write.with_collections(touched_collections, groups, verdicts, now, F.expr("uuid()")),
                     "batches": batches,
                     "changes": written.withColumn("version", F.col("seq")),
                     "push_results": answers,
@@ -186,7 +194,7 @@ class LogEngine:
             return fresh.unionByName(later).unionByName(old)
 
         began = time.monotonic()
-        answers = self._retry(attempt)
+        answers = self._retry(attempt, ("blobs", "blob_refs"))
         if (took := round((time.monotonic() - began) * 1000)) > SLOW_MS:
             self._record("slow_push", ms=took)
         self._compact()
@@ -205,7 +213,7 @@ class LogEngine:
         """Now and then, after a commit; another writer's commit meanwhile leaves it for later."""
         if self.store.fragments() > MOST_PARTS:
             try:
-                self.store.compact()
+                self.store.compact(MOST_PARTS)
             except CommitConflict:
                 self._record("compaction_lost")
 
@@ -218,8 +226,8 @@ class LogEngine:
     def changes(self, scope: str, collection: str, cursor: str | None = None, limit: int | None = None) -> Page:
         """Batches after the cursor with their operations; at most a page of batches."""
         self._check(collection)
-        state = self.store.read()
-        bounds = self._bounds(state, scope, collection)
+        version = self.store.version()
+        bounds = self._bounds(self._own(scope, collection, "collections", version=version), scope, collection)
         if bounds is None:
             if cursor is not None:
                 raise CollectionReset(None)
@@ -231,21 +239,21 @@ class LogEngine:
             raise
         most = max(1, min(limit or self.limits.page, self.limits.page))
         self._record("changes", scope=scope, collection=collection, lag=bounds.head - start)
-        own = log_read.of_collection(state["batches"], scope, collection)
-        found = log_read.after(own, start, most).collect()
+        later = self._own(scope, collection, "batches", version=version, seq=(start + 1, None))["batches"]
+        found = log_read.after(log_read.of_collection(later, scope, collection), start, most).collect()
         page, more = found[:most], len(found) > most
         if not page:
             return Page([], None, False, bounds.epoch)
         last = page[-1]["seq"]
-        batches = own.where((F.col("seq") > start) & (F.col("seq") <= last))
-        changes = log_read.of_collection(state["changes"], scope, collection).where((F.col("seq") > start) & (F.col("seq") <= last))
+        state = self._own(scope, collection, "batches", "changes", version=version, seq=(start + 1, last))
+        batches, changes = (log_read.of_collection(state[t], scope, collection) for t in ("batches", "changes"))
         rows = log_read.with_operations(batches, changes).withColumn("cursor", F.concat_ws(".", F.lit(bounds.epoch), F.col("seq").cast("string")))
         return Page(rows.orderBy("seq").collect(), f"{bounds.epoch}.{last}", more, bounds.epoch)
 
     def snapshot(self, scope: str, collection: str, token: str | None = None, limit: int | None = None) -> Page:
         """Live entities by type and id. The cursor is fixed by the first page and carried by the token; next_cursor is it on the last page, the token before."""
         self._check(collection)
-        state = self.store.read()
+        state = self._own(scope, collection, "collections", "entities")
         bounds = self._bounds(state, scope, collection)
         if bounds is None:
             if token is not None:
@@ -265,7 +273,7 @@ class LogEngine:
         return Page(page, after, more, bounds.epoch)
 
     def head(self, scope: str, collection: str) -> str | None:
-        bounds = self._bounds(self.store.read(), scope, collection)
+        bounds = self._bounds(self._own(scope, collection, "collections"), scope, collection)
         return bounds and f"{bounds.epoch}.{bounds.head}"
 
     def published_limits(self) -> dict[str, int | None]:
@@ -276,12 +284,12 @@ class LogEngine:
         }
 
     def document(self, scope: str, collection: str, kind: str, ident: str) -> Row | None:
-        state = self.store.read()
+        state = self._own(scope, collection, "entities", "blob_refs")
         own = lambda t: log_read.of_collection(state[t], scope, collection)
         return log_read.document(own("entities"), own("blob_refs"), kind, ident).first()
 
     def documents(self, scope: str, collection: str, kind: str, token: str | None = None, limit: int = 100) -> Page:
-        state = self.store.read()
+        state = self._own(scope, collection, "entities", "blob_refs")
         own = lambda t: log_read.of_collection(state[t], scope, collection)
         most = max(1, min(limit, self.limits.page))
         found = log_read.documents_page(own("entities"), own("blob_refs"), kind, most, self._plain(token)).collect()
@@ -297,7 +305,7 @@ class LogEngine:
     # -- files
 
     def blob(self, scope: str, collection: str, blob_id: str) -> Row:
-        row = log_read.of_collection(self.store.read()["blobs"], scope, collection).where(F.col("blob_id") == blob_id).first()
+        row = log_read.of_collection(self._own(scope, collection, "blobs")["blobs"], scope, collection).where(F.col("blob_id") == blob_id).first()
         if row is None:
             raise UnknownBlob(blob_id)
         return row
@@ -305,7 +313,7 @@ class LogEngine:
     def blobs(self, scope: str, collection: str, token: str | None = None, limit: int = 100) -> Page:
         """The token is the bare id of the last one."""
         most = max(1, min(limit, self.limits.page))
-        found = log_read.blobs_page(log_read.of_collection(self.store.read()["blobs"], scope, collection), most, token).collect()
+        found = log_read.blobs_page(log_read.of_collection(self._own(scope, collection, "blobs")["blobs"], scope, collection), most, token).collect()
         more = len(found) > most
         return Page(found[:most], found[most - 1]["blob_id"] if more else None, more, None)
 
@@ -345,7 +353,7 @@ class LogEngine:
 
     def download(self, scope: str, collection: str, blob_id: str) -> Row:
         self.blob(scope, collection, blob_id)
-        rows = log_read.of_collection(self.store.read()["blobs"], scope, collection).where(F.col("blob_id") == blob_id)
+        rows = log_read.of_collection(self._own(scope, collection, "blobs")["blobs"], scope, collection).where(F.col("blob_id") == blob_id)
         return file_ops.downloads(rows).first()
 
     # -- maintenance
