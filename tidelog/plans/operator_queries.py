@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import blobs, diagnostics, files, log_read, log_write, outbox, replica, retention
 from ..schema import BLOB, COLLECTION, ENTITY, LOG_TABLES, REPLICA_TABLES, shaped
+from ..streaming import events
 from .synthetic import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,3 +565,18 @@ def group_refusals(spark, sf):
     allowed = rows.select("collection_id", "entity_type").distinct()
     none = view(spark, sf, "v_ref").where("false")
     return flat(log_write.rejections(groups, allowed, none, none, log_write.Limits(operations=3, document_bytes=90)), "rejected", ["scope_id", "group_id"], ["code"])
+
+
+@query(
+    sql("head", ["scope_id"], ["""concat('{"type":"invalidate","collection":"', collection_id, '","latestSeq":"', CAST(max(seq) AS VARCHAR), '"}')"""], "v_log GROUP BY scope_id, collection_id"),
+    sql("ready", ["scope_id", "blob_id"], ["""concat('{"type":"blobReady","collection":"', collection_id, '","blobId":"', blob_id, '"}')"""], "v_blob WHERE state = 'READY'"),
+    sql("asked", ["scope_id", "entity_id"], ["CASE max(CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_id % 11 < 6 THEN 0 ELSE 1 END) WHEN 2 THEN 'bootstrap' WHEN 1 THEN 'cycle' ELSE 'transfer' END"], "v_log GROUP BY scope_id, entity_id"),
+)
+def notices(spark, sf):
+    """Notices of heads and of ready files as texts, and the strongest action that texts about each user's collection ask for."""
+    log = view(spark, sf, "v_log")
+    heads, ready = events.invalidations(log), events.files_ready(view(spark, sf, "v_blob").where("state = 'READY'"))
+    kind = F.when(F.col("event_id") % 11 == 0, events.RESYNC).when(F.col("event_id") % 11 < 6, events.BLOB_READY).otherwise(events.INVALIDATE)
+    text = F.to_json(F.struct(kind.alias("type"), F.col("entity_id").alias("collection")))
+    asked = events.asked(events.decoded(log.select("scope_id", text.alias("raw"))), log.select("scope_id", F.col("entity_id").alias("collection_id")))
+    return union(flat(heads, "head", ["scope_id"], ["raw"]), flat(ready, "ready", ["scope_id", "blob_id"], ["raw"]), flat(asked, "asked", COLLECTION, ["action"]))
