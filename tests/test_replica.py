@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_engine import Clock
 from tidelog.errors import PendingChanges
 from tidelog.operators import files, outbox, replica, statements
-from tidelog.plans import queries
+from tidelog.plans import operator_queries, queries
 from tidelog.plans.engine import CollectionSpec, LogEngine, log_store
 from tidelog.plans.replica import Adapter, Replica, replica_store
 from tidelog.plans.synthetic import view
@@ -117,6 +117,16 @@ def test_snapshot_and_conflicts(spark):
     assert {r.entity_id: (r.server_version, r.acked_rev) for r in rows.collect()}["edited"] == ("2", 1)
 
 
+def test_groups_larger_than_any_row_are_listed_and_sized(spark, tmp_path):
+    """54 documents of 40 MB in one group, more than a row can hold; a document's length is its user's number."""
+    users = [28 * (1_430_000 + n) + 1 for n in range(54)] + [8, 9, 41]
+    rows = [(n, u, "view", '{"k": 6}') for n, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumns({"ts": F.timestamp_seconds(F.lit(0)), "value": F.lit(1.0)}).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    out = {(r.what, r.name): r.value for r in operator_queries.QUERIES["group_envelopes"](spark, str(tmp_path)).collect()}
+    assert out.pop(("ops", "s1/g1")) == "54/0/" + ",".join(f"view.{u}" for u in users[:54])
+    assert out == {("ops", "s0/g1"): "1/1/view.8", ("ops", "s1/g2"): "1/0/view.9", ("ops", "s1/g6"): "1/0/view.41", ("large", "s1/g1"): "operations", ("large", "s1/g6"): "document"}
+
+
 def test_dependency_refusals_merge_wait_and_fail(spark):
     groups = group(spark, ("g1", 1, "IN_FLIGHT", 0), ("g2", 2, "PENDING", 0))
     records = record(spark, {"entity_id": "a", "group_id": "g1", "local_rev": 1}, {"entity_id": "b", "group_id": "g2", "local_rev": 1})
@@ -242,6 +252,16 @@ def test_a_log_out_of_reach_leaves_the_edits_queued(spark, tmp_path):
     assert a.store.read()["records"].count() == 0
 
 
+def test_a_group_too_large_is_refused_before_it_is_put_together(spark, tmp_path, monkeypatch):
+    refused, together = [], []
+    whole = outbox.envelopes
+    monkeypatch.setattr(outbox, "envelopes", lambda *a: together.append(a) or whole(*a))
+    clock, log, a = _pair(spark, tmp_path, adapter=Adapter(on_rejected=refused.append))
+    a.cycle("u", "l")
+    a.mutate("u", "l", [("w", "1", '{"n":"' + "x" * log.published_limits()["document_bytes"] + '"}')])
+    assert a.push_once("u", "l") == "rejected" and [r.reject_code for r in refused] == ["TOO_LARGE"] and together == []
+
+
 def test_a_group_waits_for_its_files_and_declares_them(spark, tmp_path):
     named = lambda docs: docs.select(*ENTITY, F.array(F.struct(F.get_json_object("data", "$.photo").alias("blob_id"), F.lit("REQUIRED").alias("binding"))).alias("files"))
     outcomes = iter(["error", "uploaded"])

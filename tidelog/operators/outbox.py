@@ -17,6 +17,8 @@ MOST_DEPENDENCY_MERGES = 8
 #: States of a file in which a record that requires it may be sent, and in which a reference to it is not declared.
 SENDABLE = ("UPLOADED", "READY", "REMOTE", "DOWNLOADING")
 UNDECLARED = ("LOCAL", "UNAVAILABLE", "REFUSED")
+#: Fields of an operation as it is sent.
+WIRE = ("op", "entity_type", "entity_id", "base_version", "data", "blobs")
 
 
 def _new_groups(rows: DataFrame) -> DataFrame:
@@ -144,30 +146,40 @@ def declared_files(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(known, [*COLLECTION, "blob_id"], "left_semi").groupBy(*ENTITY).agg(F.array_sort(F.collect_set("blob_id")).alias("blobs"))
 
 
-def envelopes(head: DataFrame, records: DataFrame, documents: DataFrame, refs: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """COLLECTION, group_id, ops: the operations of groups as their entities are now (documents: ENTITY, data).
+def operations(head: DataFrame, records: DataFrame, documents: DataFrame, refs: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """COLLECTION, group_id, op, entity_type, entity_id, base_version, data, blobs, bytes: a row for each operation of groups, as its entity is now (documents: ENTITY, data).
 
     Missing documents and deletions are deletes. Without files a document declares none and says so by null.
+    Only `data` needs the documents themselves: who asks for the rest joins their sizes.
     """
-    rows = records.where(dirty()).join(head.select("group_id"), "group_id", "left_semi").join(documents.select(*ENTITY, "data"), ENTITY, "left")
-    gone = (F.coalesce("intent", F.lit("UPSERT")) == "DELETE") | F.col("data").isNull()
+    sized = documents.select(*ENTITY, "data", F.when(F.col("data").isNotNull(), document_bytes(F.col("data"))).alias("bytes"))
+    rows = records.where(dirty()).join(head.select("group_id"), "group_id", "left_semi").join(sized, ENTITY, "left")
+    gone = (F.coalesce("intent", F.lit("UPSERT")) == "DELETE") | F.col("bytes").isNull()
     if refs is not None:
         rows = rows.join(declared_files(refs, files), ENTITY, "left").withColumn("blobs", F.coalesce("blobs", F.array().cast("array<string>")))
     else:
         rows = rows.withColumn("blobs", F.lit(None).cast("array<string>"))
-    op = F.struct(
-        F.when(gone, "delete").otherwise("upsert").alias("op"), "entity_type", "entity_id", F.col("server_version").alias("base_version"),
-        F.when(~gone, F.col("data")).alias("data"), F.when(~gone, F.col("blobs")).alias("blobs"),
+    return rows.select(
+        *COLLECTION, "group_id", F.when(gone, "delete").otherwise("upsert").alias("op"), "entity_type", "entity_id", F.col("server_version").alias("base_version"),
+        F.when(~gone, F.col("data")).alias("data"), F.when(~gone, F.col("blobs")).alias("blobs"), F.when(gone, 0).otherwise(F.col("bytes")).alias("bytes"),
     )
+
+
+def envelopes(ops: DataFrame, fields: tuple[str, ...] = WIRE) -> DataFrame:
+    """COLLECTION, group_id, ops: operations as one row for each group, in order, with these fields.
+
+    The row holds all that it is given: whole documents only of groups that `oversized` doesn't name.
+    """
+    op = F.struct(*fields)
     listed = F.array_sort(F.collect_list(F.struct(F.col("entity_type").alias("t"), F.col("entity_id").alias("i"), op.alias("o"))))
-    return rows.groupBy(*COLLECTION, "group_id").agg(F.transform(listed, lambda x: x["o"]).alias("ops"))
+    return ops.groupBy(*COLLECTION, "group_id").agg(F.transform(listed, lambda x: x["o"]).alias("ops"))
 
 
-def oversized(envelope: DataFrame, most_operations: int, most_bytes: int) -> DataFrame:
-    """Envelopes that the log would refuse for their size, with the reason."""
-    largest = F.array_max(F.transform("ops", lambda o: document_bytes(o["data"])))
-    reason = F.when(F.size("ops") > most_operations, "operations").when(largest > most_bytes, "document")
-    return envelope.withColumn("reason", reason).where("reason is not null").select(*COLLECTION, "group_id", "reason")
+def oversized(ops: DataFrame, most_operations: int, most_bytes: int) -> DataFrame:
+    """Groups of operations that the log would refuse for their size, with the reason; no group is brought together for it."""
+    sizes = ops.groupBy(*COLLECTION, "group_id").agg(F.count(F.lit(1)).alias("_n"), F.max("bytes").alias("_largest"))
+    reason = F.when(F.col("_n") > most_operations, "operations").when(F.col("_largest") > most_bytes, "document")
+    return sizes.withColumn("reason", reason).where("reason is not null").select(*COLLECTION, "group_id", "reason")
 
 
 def sent(groups: DataFrame, records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

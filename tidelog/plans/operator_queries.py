@@ -325,8 +325,8 @@ def group_envelopes(spark, sf):
     records = table(spark, sf, "records")
     k = F.col("entity_id").cast("long")
     documents = records.where(k % 2 != 0).select(*ENTITY, F.concat(F.lit('"'), F.repeat(F.lit("x"), k.cast("int")), F.lit('"')).alias("data"))
-    out = outbox.envelopes(records.select("group_id").distinct(), records, documents)
-    large = outbox.oversized(out, 3, 20)
+    ops = outbox.operations(records.select("group_id").distinct(), records, documents)
+    out, large = outbox.envelopes(ops, ("op", "entity_type", "entity_id")), outbox.oversized(ops, 3, 20)
     names = F.array_join(F.transform("ops", lambda o: F.concat_ws(".", o["entity_type"], o["entity_id"])), ",")
     gone = F.size(F.filter("ops", lambda o: o["op"] == "delete"))
     return union(flat(out.withColumns({"n": F.size("ops"), "gone": gone, "names": names}), "ops", ["scope_id", "group_id"], ["n", "gone", "names"]), flat(large, "large", ["scope_id", "group_id"], ["reason"]))

@@ -176,14 +176,15 @@ class Replica:
         groups, records = stored(groups, "g"), stored(records, "r")
         at = groups.where((F.col("ord") == head["ord"]) & (F.col("scope_id") == scope) & (F.col("collection_id") == collection))
         named = (state["file_refs"], state["files"]) if self.adapter.files is not None else ()
-        envelope = stored(outbox.envelopes(at, records, state["documents"], *named), "envelope")
+        edits = stored(outbox.operations(at, records, state["documents"], *named), "operations")
         groups, records = outbox.sent(groups, records, at)
         base = self.store.commit(base, replace={"groups": groups, "records": records})
         state = self.store.read(base)
-        if not (large := outbox.oversized(envelope, self.log.limits.operations, self.log.published_limits()["document_bytes"])).isEmpty():
+        if not (large := outbox.oversized(edits, self.log.limits.operations, self.log.published_limits()["document_bytes"])).isEmpty():
             answers = large.select("group_id", F.lit("TOO_LARGE").alias("code"), F.col("reason").alias("message"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("entity_id"))
             self._refuse(base, state, answers)
             return "rejected"
+        envelope = stored(outbox.envelopes(edits), "envelope")
         request = envelope.withColumns({"client_id": F.lit(client), "arrival": F.lit(1).cast("long")})
         try:
             answer = stored(self.log.push(request, {(scope, collection): row["epoch"]}), "answer")
